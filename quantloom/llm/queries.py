@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import mixing, packing, pii, rules
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mix,
     "op9_quality_rules": rules.op9_rules,
 }
