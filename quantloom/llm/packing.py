@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,21 +18,31 @@ OPEN_BINS = 1024
 #: Sequence numbers of a task start at its partition's number times this.
 STRIDE = 1 << 40
 #: Words a task remembers; the memory is emptied, not trimmed, when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: A text of these and of letters beyond ASCII has no other marks than full stops and commas.
+PLAIN = (string.ascii_lowercase + "., \t\n\x0b\x0c\r").encode()
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Token ids of texts for a tokenizer that never joins across ASCII white space.
+    """Token ids of texts for a word-end BPE that never joins across ASCII white space.
 
     Each distinct word is encoded once, all ids lie in one array, and a text's
-    ids are gathered from it.
+    ids are gathered from it.  Texts of letters, full stops and commas are
+    lower-cased and their marks set apart first, as the tokenizer does itself,
+    which leaves fewer distinct words; words of lower-case letters are then
+    encoded many at a time, told apart by the word-end tokens.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -38,14 +50,8 @@ class WordEncoder:
         self.ids, self.starts, self.lengths = np.empty(1 << 16, "<u4"), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.number) + len(words) > REMEMBERED:
-            self.forget()
+    def _add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.number)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in encoded]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), "<u4", int(lengths.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while first + len(words) > len(self.starts):
@@ -56,14 +62,38 @@ class WordEncoder:
         self.used += len(flat)
         self.number.update(zip(words, range(first, first + len(words)), strict=True))
 
+    def learn(self, words: list[bytes]) -> None:
+        text = [(w, w.decode()) for w in words]
+        easy = [x for x in text if x[1].isalpha() and x[1] == x[1].lower() and (x[0].isascii() or unicodedata.is_normalized("NFC", x[1]))]
+        if easy:
+            encoded = self.letters.encode_batch_fast([" ".join(x[1] for x in easy[i : i + 512]) for i in range(0, len(easy), 512)], add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, "<u4") for e in encoded])
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(ends) == len(easy):
+                self._add([x[0] for x in easy], flat, np.diff(ends, prepend=0))
+                text = [x for x in text if x[0] not in self.number]
+        if text:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([x[1] for x in text], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add([x[0] for x in text], np.fromiter((i for x in lists for i in x), "<u4", int(lengths.sum())), lengths)
+
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        low = text.lower()
+        rest = low.translate(None, PLAIN)
+        if (not rest or rest.decode().isalpha()) and not any(x in low for x in (b"..", b",,", b".,", b",.")):
+            return low.replace(b".", b" . ").replace(b",", b" , ").split()
+        return text.split()
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; the words of a batch that are new are learnt first."""
-        split = [t.split() for t in texts]
-        new = list({w for s in split for w in s if w not in self.number})
+        split = [self.split(t) for t in texts]
+        new = {w for s in split for w in s if w not in self.number}
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = {w for s in split for w in s}
         if new:
-            if len(self.number) + len(new) > REMEMBERED:
-                new = list({w for s in split for w in s})
-            self.learn(new)
+            self.learn(list(new))
         get, out = self.number.__getitem__, []
         for s in split:
             at = np.fromiter(map(get, s), np.int64, len(s))
@@ -74,6 +104,16 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The process's encoder for a tokenizer: a worker keeps the words it has learnt from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class BestFit:
     """Online best fit with at most ``limit`` open bins.
 
@@ -127,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_bins: int = OPE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, bins = WordEncoder(tokenizer), BestFit(TaskContext.get().partitionId() * STRIDE, size, open_bins)
+        encoder, bins = encoder_of(tokenizer), BestFit(TaskContext.get().partitionId() * STRIDE, size, open_bins)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
