@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, rules
+from . import media, mixing, packing, pii, rules
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op3_packing": packing.op3_packing,
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mix,
