@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, pii, rules
+from . import chat, media, mixing, packing, pii, quality, rules
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mix,
     "op9_quality_rules": rules.op9_rules,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLE_SQL = {
