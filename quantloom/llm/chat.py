@@ -132,7 +132,7 @@ def assemble(turns: DataFrame) -> DataFrame:
 
 def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per conversation with digests of what the ids and masks hold: a fold over rows in the order of ``assemble``."""
-    rows = assembled.select("conv_id", "ids", "mask")
+    rows = assembled.select("conv_id", "ids", "mask", "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, state = codec(path, pattern), None, None
@@ -143,8 +143,8 @@ def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv_id, raw, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state is None or conv_id != key:
+            for conv_id, raw, mask, position in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if position == 1:
                     if state is not None:
                         done.append(close())
                     key, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
