@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, packing, pii, quality, rules
+from . import chat, media, mixing, packing, pii, quality, rules, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": rules.op9_rules,
     "op10_chat": chat.op10_chat,
 }
