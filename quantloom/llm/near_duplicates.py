@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts
+from .common import BROADCAST_ROWS, cut, shuffle_parts, small
 from .components import components
 from .vector import blocks, mix, runs, words_of
 
@@ -334,5 +334,20 @@ def link(docs: DataFrame) -> DataFrame:
     return sets.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component: the one of the smallest id; of rows with one id, the first by text.
+
+    Documents without an id or without shingles stay.  Other columns are
+    untouched; only the ids of what goes are joined with the texts.
+    """
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"))
+    if not again.isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in sorted(docs.columns, key=lambda c: c != "text")]))
+        once = docs.join(small(again), "doc_id", "left_anti")
+        docs = once.unionByName(docs.join(small(again), "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first"))
+    goes = cut(link(docs).where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(small(goes), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))

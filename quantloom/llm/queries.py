@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, near_duplicates, packing, pii, quality, rules, toxicity
+from . import chat, media, mixing, near_duplicates, packing, pii, quality, rules, substrings, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
+    "op4_substrings": substrings.op4_substrings,
     "op5_jaccard": near_duplicates.op5_jaccard,
     "op6_pii": pii.op6_pii,
     "op7_mixing": mixing.op7_mix,
