@@ -16,10 +16,12 @@ which ones are is counted, not guessed.  Documents whose spare doesn't suffice
 are compared among each other by their rarest shingles (prefix filter), so no
 link is lost.  Every candidate is verified on whole texts.
 
-Equal sets meet once, under their fingerprint.  Members of a bucket are first
-compared with its smallest member only; only buckets that verified links leave
-in several components go on.  Batches combine their own buckets before the
-shuffle, so a bucket receives one row per batch at most.
+Equal sets are represented by their first document.  Members of a bucket are
+first compared with its smallest member only; only buckets that verified links
+leave in several components go on.  Batches combine their own buckets before
+the shuffle, so a bucket receives one row per batch at most.  Linked sets of a
+band of weight 1 agree in more segments than the spare that both have left, so
+pairs that meet less often need no verification.
 """
 
 from __future__ import annotations
@@ -32,20 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts, small
+from .common import cut, shuffle_parts, small, written
 from .components import components
 from .vector import blocks, mix, runs, words_of
 
 SHINGLE = 5
 NUM, DEN = 8, 10
-#: Fingerprints have this bit and none above, so that they differ from sizes and stay positive.
-NODE_BIT = 1 << 62
+#: Keys of buckets are below this; rows of members already matched carry it on top.
+MATCHED = 1 << 62
 BAND_BITS = 7
 #: Largest distance up to which a band's segments are indexed with their neighbourhoods.
 DELETIONS_TO = 8
 #: Rows of other classes that a bucket may hold and still be compared through.
 MINORITY = 8
-SHARE = 0.15
+SHARE = 0.1
 
 
 @lru_cache(1)
@@ -78,11 +80,11 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 62-bit name of each set."""
+    """A 64-bit name of each set, never 0."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5)), dtype=np.uint64)])
     with np.errstate(over="ignore"):
         total = mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
-    return ((total >> np.uint64(2)) | np.uint64(NODE_BIT)).astype(np.int64)
+    return np.maximum(total, np.uint64(1)).view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -94,7 +96,7 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node): size and fingerprint of each document's set; empty sets have node 0."""
+    """(doc_id, n, name): size and fingerprint of each document's set; empty sets have name 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,10 +104,10 @@ def measure(docs: DataFrame) -> DataFrame:
             for low, high in blocks(texts):
                 h, first = shingles(texts[low:high])
                 n = np.diff(first)
-                node = np.where(n > 0, fingerprints(h, first), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
+                name = np.where(n > 0, fingerprints(h, first), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(name)], ["doc_id", "n", "name"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, node long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, name long")
 
 
 def _ranges(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -143,7 +145,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
             name = mix((np.arange(len(total)) - offset[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[b[owner]])
 
             def key(content: np.ndarray, at: np.ndarray, b=b, owner=owner, name=name) -> np.ndarray:
-                return ((mix(content + name[at]) >> np.uint64(8)).astype(np.int64) << BAND_BITS) | b[owner[at]]
+                return ((mix(content + name[at]) >> np.uint64(9)).astype(np.int64) << BAND_BITS) | b[owner[at]]
 
             full = np.flatnonzero(filled)
             keys.append(key(total[full], full))
@@ -175,20 +177,19 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, t
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """(k, a, b): bucket k holds a and its centre b; or, for k = -1 - band, set a loses weight b in that band."""
+    """(k, a, b): bucket k holds a and its smallest member b; or, for k = -1 - band, set a loses weight b in that band."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, 0)
+            ids, texts = batch.column(0).to_numpy(), _texts(batch, 1)
             for low, high in blocks(texts):
                 h, first = shingles(texts[low:high])
-                node = fingerprints(h, first)
+                own = ids[low:high]
                 k, d, loss = signatures(h, first)
-                is_key = loss < 0
-                key, centre, star = _stars(k[is_key], node[d[is_key]])
-                lost = ~is_key
+                lost = loss >= 0
+                key, smallest, star = _stars(k[~lost], own[d[~lost]])
                 yield _batch({
-                    "k": np.concatenate([key, star[0], k[lost]]), "a": np.concatenate([centre, star[1], node[d[lost]]]),
+                    "k": np.concatenate([key, star[0] | MATCHED, k[lost]]), "a": np.concatenate([smallest, star[1], own[d[lost]]]),
                     "b": np.concatenate([np.zeros(len(key), np.int64), star[2], loss[lost]]),
                 })
 
@@ -196,17 +197,43 @@ def index(docs: DataFrame) -> DataFrame:
         held = [[], []]
         for batch in batches:
             k, a, b = (c.to_numpy() for c in batch.columns)
-            loose = b == 0
+            loose = (k >= 0) & (k < MATCHED)
             held[0].append(k[loose])
             held[1].append(a[loose])
-            yield _batch({"k": k[~loose], "a": a[~loose], "b": b[~loose]})
+            yield _batch({"k": np.where(k < 0, k, k & (MATCHED - 1))[~loose], "a": a[~loose], "b": b[~loose]})
         if held[0]:
             k, a, b = _stars(np.concatenate(held[0]), np.concatenate(held[1]))[2]
             yield _batch({"k": k, "a": a, "b": b})
 
     shape = "k long, a long, b long"
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
-    return rows.repartition(shuffle_parts(docs), "k").mapInArrow(meet, shape)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
+    return rows.repartition(shuffle_parts(docs), F.col("k").bitwiseAND(MATCHED - 1)).mapInArrow(meet, shape)
+
+
+def _band(k: str = "k"):
+    return F.col(k).bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+
+
+def _plan(spark) -> DataFrame:
+    """(band, spare, weight): a constant table."""
+    _, _, distance, _, spare = bands()
+    rows = [(i, int(s), 2 if d <= DELETIONS_TO else 1) for i, (s, d) in enumerate(zip(spare, distance, strict=True))]
+    return F.broadcast(spark.createDataFrame(rows, "band int, spare long, weight long"))
+
+
+def _fit(a: str = "sa", b: str = "sb"):
+    return (NUM * F.col(a) <= DEN * F.col(b)) & (NUM * F.col(b) <= DEN * F.col(a))
+
+
+def likely(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member and its smallest that meet in several buckets and are alike in size.
+
+    What this leaves out isn't lost: its buckets stay in several components.
+    """
+    met = stars.withColumn("band", _band()).groupBy("a", "b", "band").agg(F.count("*").alias("n")).join(_plan(stars.sparkSession), "band")
+    often = met.where((F.col("weight") == 2) | (2 * F.col("n") > F.col("spare"))).select("a", "b").distinct()
+    left, right = sizes.toDF("a", "sa"), sizes.toDF("b", "sb")
+    return often.join(left, "a").join(right, "b").where(_fit()).select("a", "b")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,45 +260,50 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the classes of ``nodes``, each by its first document."""
-    wanted = cut(nodes.distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id")))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id")
-    return found.select("node", "text")
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the documents named; ``docs`` has one row for each."""
+    wanted = cut(nodes.distinct().withColumnRenamed("node", "doc_id"))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(wanted), "doc_id").withColumnRenamed("doc_id", "node")
 
 
 def unresolved(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """(k, node, label) of the buckets that hold several components."""
-    label = labels.select("node", "label")
     of = lambda c: stars.select("k", F.col(c).alias("node"))
-    members = of("a").union(of("b")).distinct().join(label, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
+    members = of("a").union(of("b")).distinct().join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
     mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
     return members.join(mixed, "k")
 
 
-def across(members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of different components in buckets with a small minority, rows of all other buckets)."""
-    per_label = cut(members.groupBy("k", "label").agg(F.count("*").alias("n")))
+def split_by_cost(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members, with their bucket's largest component as ``main``, of the buckets with few others, and of the rest."""
+    per_label = members.groupBy("k", "label").agg(F.count("*").alias("n"))
     shape = per_label.groupBy("k").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
-    rows = members.join(shape, "k").join(sizes, "node")
-    cheap, dear = rows.where(F.col("n") - F.col("most") <= MINORITY), rows.where(F.col("n") - F.col("most") > MINORITY)
-    few = cheap.where("label <> main").select("k", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
-    every = cheap.select("k", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-    fit = (NUM * F.col("sa") <= DEN * F.col("sb")) & (NUM * F.col("sb") <= DEN * F.col("sa"))
-    pairs = few.join(every, "k").where((F.col("la") != F.col("lb")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.distinct(), dear.select("k", "node", "label", "size")
+    rows = written(members.join(shape, "k").select("k", "node", "label", "main", (F.col("n") - F.col("most")).alias("others")))
+    return rows.where(F.col("others") <= MINORITY), rows.where(F.col("others") > MINORITY)
 
 
-def short_of_spare(dear: DataFrame, losses: DataFrame) -> DataFrame:
-    """Nodes that lose more weight in some band, to dear, empty and single segments, than it has to spare."""
-    _, _, distance, _, spare = bands()
-    table = dear.sparkSession.createDataFrame([(i, int(s), 2 if d <= DELETIONS_TO else 1) for i, (s, d) in enumerate(zip(spare, distance, strict=True))], "band int, spare long, weight long")
-    spent = dear.select("node", F.col("k").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")).join(F.broadcast(table), "band").groupBy("node", "band").agg(F.sum("weight").alias("lost"))
+def lost_weight(dear: DataFrame, losses: DataFrame) -> DataFrame:
+    """(node, band, lost): what dear, empty and single segments take from each set's spare."""
+    spent = dear.withColumn("band", _band()).join(_plan(dear.sparkSession), "band").groupBy("node", "band").agg(F.sum("weight").alias("lost"))
     gone = losses.select(F.col("a").alias("node"), (-1 - F.col("k")).cast("int").alias("band"), F.col("b").alias("lost")).distinct()
-    total = spent.unionByName(gone).groupBy("node", "band").agg(F.sum("lost").alias("lost")).join(F.broadcast(table), "band")
-    return total.where(F.col("lost") > F.col("spare")).select("node").distinct()
+    return spent.unionByName(gone).groupBy("node", "band").agg(F.sum("lost").alias("lost"))
+
+
+def across(cheap: DataFrame, sizes: DataFrame, lost: DataFrame) -> DataFrame:
+    """Pairs of different components that meet in as many cheap buckets as linked ones must."""
+    few = cheap.where("label <> main").select("k", F.col("node").alias("a"), F.col("label").alias("la"))
+    every = cheap.select("k", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = few.join(every, "k").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
+    met = pairs.withColumn("band", _band()).groupBy("a", "b", "band").agg(F.count("*").alias("n"))
+    met = met.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit())
+    met = met.join(lost.toDF("a", "band", "xa"), ["a", "band"], "left").join(lost.toDF("b", "band", "xb"), ["b", "band"], "left").join(_plan(cheap.sparkSession), "band")
+    least = F.col("spare") + 1 - F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0)))
+    return met.where((F.col("weight") == 2) | (F.col("n") >= least)).select("a", "b").distinct()
+
+
+def short_of_spare(lost: DataFrame) -> DataFrame:
+    """Nodes that lose more in some band than it has to spare."""
+    return lost.join(_plan(lost.sparkSession), "band").where(F.col("lost") > F.col("spare")).select("node").distinct()
 
 
 def by_rare_shingles(nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,8 +327,7 @@ def by_rare_shingles(nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> D
     main = per_label.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     few = head.join(main, "token").where("label <> main").select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
     every = head.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-    fit = (NUM * F.col("sa") <= DEN * F.col("sb")) & (NUM * F.col("sb") <= DEN * F.col("sa"))
-    return few.join(every, "token").where((F.col("la") != F.col("lb")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return few.join(every, "token").where((F.col("la") != F.col("lb")) & _fit()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -305,33 +336,38 @@ def link(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest doc_id reachable by links, ``n_links`` the
     verified links of the document's class that were needed to find this out.
     Null and blank texts have no shingles and stand alone; a text of fewer
-    than five words is one shingle; repeated rows are one class.
+    than five words is one shingle; rows of one doc_id are one document; rows
+    without an id link with nothing.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = cut(measure(docs))
-    classes = cut(sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")))
-    sizes = classes.select("node", "size")
-    met = cut(index(docs))
+    known = sets.where("name <> 0 and doc_id is not null")
+    classes = cut(known.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")))
+    aside = cut(sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct())
+    docs = docs.where("doc_id is not null").join(small(aside), "doc_id", "left_anti")
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.max("size").alias("size"))
+    met = written(index(docs))
     stars, losses = met.where("k >= 0"), met.where("k < 0")
-    pairs = cut(stars.select("a", "b").distinct())
-    texts = cut(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs))
-    found = cut(verify(pairs, texts))
+    pairs = cut(likely(stars, sizes))
+    found = cut(verify(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)))
     labels = components(found)
-    members = cut(unresolved(stars, labels))
-    rest, dear = across(members, sizes)
-    more = cut(verify(rest, texts))
-    left = cut(short_of_spare(dear, losses))
+    cheap, dear = split_by_cost(unresolved(stars, labels))
+    lost = cut(lost_weight(dear, losses))
+    rest = cut(across(cheap, sizes, lost))
+    more = verify(rest, texts_of(rest.select(F.explode(F.array("a", "b")).alias("node")), docs))
+    left = cut(short_of_spare(lost))
     if not left.isEmpty():
-        own = cut(texts_of(left, classes, docs))
-        more = more.unionByName(cut(verify(by_rare_shingles(left, own, labels), own)))
+        own = written(texts_of(left, docs))
+        more = more.unionByName(verify(cut(by_rare_shingles(left, own, labels)), own))
     links = cut(found.unionByName(more))
     labels = components(links)
-    least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
+    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of_class = labels.join(least, "label").select("node", "component_id")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.select("node", "rep").join(of_class, "node", "left").join(degree, "node", "left")
-    named = named.select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sets.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.select("name", F.col("rep").alias("node")).join(of_class, "node", "left").join(degree, "node", "left")
+    named = named.select("name", F.coalesce("component_id", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = sets.join(named, "name", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
