@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_parts, small, written
 from .components import components
-from .vector import blocks, mix, runs, words_of
+from .vector import BLOCK, blocks, mix, runs, sliced, words_of
 
 SHINGLE = 5
 NUM, DEN = 8, 10
@@ -48,6 +48,8 @@ DELETIONS_TO = 8
 #: Rows of other classes that a bucket may hold and still be compared through.
 MINORITY = 8
 SHARE = 0.1
+#: Pairs of texts that are unpacked at a time.
+PAIRS = 64
 
 
 @lru_cache(1)
@@ -99,9 +101,9 @@ def measure(docs: DataFrame) -> DataFrame:
     """(doc_id, n, name): size and fingerprint of each document's set; empty sets have name 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _texts(batch, 1)
-            for low, high in blocks(texts):
+            for low, high in blocks(texts, BLOCK // 2):
                 h, first = shingles(texts[low:high])
                 n = np.diff(first)
                 name = np.where(n > 0, fingerprints(h, first), 0)
@@ -180,9 +182,9 @@ def index(docs: DataFrame) -> DataFrame:
     """(k, a, b): bucket k holds a and its smallest member b; or, for k = -1 - band, set a loses weight b in that band."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_numpy(), _texts(batch, 1)
-            for low, high in blocks(texts):
+            for low, high in blocks(texts, BLOCK // 2):
                 h, first = shingles(texts[low:high])
                 own = ids[low:high]
                 k, d, loss = signatures(h, first)
@@ -207,7 +209,9 @@ def index(docs: DataFrame) -> DataFrame:
 
     shape = "k long, a long, b long"
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
-    return rows.repartition(shuffle_parts(docs), F.col("k").bitwiseAND(MATCHED - 1)).mapInArrow(meet, shape)
+    # Rows that are matched already needn't come to their bucket: they are dealt by document.
+    place = F.when((F.col("k") >= 0) & (F.col("k") < MATCHED), F.col("k")).otherwise(F.col("a"))
+    return rows.repartition(shuffle_parts(docs), place).mapInArrow(meet, shape)
 
 
 def _band(k: str = "k"):
@@ -241,9 +245,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ta, tb = _texts(batch, 2), _texts(batch, 3)
-            for low, high in blocks([x + y for x, y in zip(ta, tb, strict=True)]):
+        for part in sliced(batches, PAIRS):
+            ta, tb = _texts(part, 2), _texts(part, 3)
+            for low, high in blocks(ta, BLOCK // 4, tb):
                 h, first = shingles(ta[low:high] + tb[low:high])
                 m = high - low
                 pair = np.repeat(np.arange(2 * m) % m, np.diff(first))
@@ -253,8 +257,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 size = np.diff(first)
                 union = size[:m] + size[m:] - common
                 good = np.flatnonzero(DEN * common >= NUM * union)
-                part = batch.slice(low, m).select(["a", "b"])
-                yield part.take(pa.array(good))
+                yield part.slice(low, m).select(["a", "b"]).take(pa.array(good))
 
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long")
@@ -310,9 +313,9 @@ def by_rare_shingles(nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> D
     """Pairs of different components among ``nodes`` that share one of their rarest fifth of shingles, rarest first among ``nodes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, node = _texts(batch, 1), batch.column(0).to_numpy()
-            for low, high in blocks(texts):
+            for low, high in blocks(texts, BLOCK // 2):
                 h, first = shingles(texts[low:high])
                 n = np.diff(first)
                 yield _batch({"node": np.repeat(node[low:high], n), "size": np.repeat(n, n), "token": h.view(np.int64)})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector import blocks, words_of
+from .vector import blocks, sliced, words_of
 
 PASSAGE = 64
 #: Labelled documents to fit on at most, and passages of each, evenly spaced; scoring takes all passages.
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     """Fit on a bounded sample; None where no document is labelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _texts(batch, 0)
             for low, high in blocks(texts):
                 x, bounds = encode(texts[low:high])
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ys, tops = _texts(batch, batch.num_columns - 1), [], []
             for low, high in blocks(texts):
                 x, bounds = encode(texts[low:high])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, shuffle_parts
 from .near_duplicates import _batch, _texts
-from .vector import blocks, runs, words_of
+from .vector import blocks, runs, sliced, words_of
 
 K, WINDOW = 8, 12
 #: Words of a passage at least, united, and of a chain that counts towards one; share of equal words.
@@ -72,7 +72,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         return _batch({"k": key[keep], "a": doc[keep], "pa": place[keep], "b": doc[to], "pb": pb})
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)
             for low, high in blocks(texts):
                 key, doc, place = seeds(texts[low:high])
@@ -91,7 +91,9 @@ def anchors(docs: DataFrame) -> DataFrame:
             yield rows(*_match(*(np.concatenate(x) for x in zip(*held, strict=True))), heads=False)
 
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
-    return found.repartition(shuffle_parts(docs), "k").mapInArrow(meet, shape).drop("k")
+    # Rows that are matched already needn't come to their seed: they are dealt by document and place.
+    place = F.when(F.col("pb") < 0, F.col("k")).otherwise(F.xxhash64("a", "pa"))
+    return found.repartition(shuffle_parts(docs), place).mapInArrow(meet, shape).drop("k")
 
 
 class Fenwick:

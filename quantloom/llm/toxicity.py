@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .quality import _texts, fold
-from .vector import blocks, mix, words_of
+from .vector import blocks, mix, sliced, words_of
 
 THRESHOLD = 0.3
 #: Rows to learn from at most: labelled ones for the lists, rows with posteriors for the classifier (half of either side).
@@ -99,7 +99,7 @@ def _gather(rows: DataFrame) -> pa.Table:
     """Distinct features of the few rows a model is fitted on, in an order that doesn't depend on tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _texts(batch, 0)
             for low, high in blocks(texts):
                 d, h, _, _ = features(texts[low:high])
@@ -148,7 +148,7 @@ def vote(docs: DataFrame, lists: Lists) -> DataFrame:
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _texts(batch, batch.num_columns - 1)
             votes = [lists.votes(texts[a:b]) for a, b in blocks(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(votes) if votes else [], pa.int64())], [*batch.schema.names[:-1], "votes"])
@@ -256,7 +256,7 @@ def score(docs: DataFrame, linear: Linear) -> DataFrame:
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = _texts(batch, batch.num_columns - 1)
             ys = [linear.scores(texts[a:b]) for a, b in blocks(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(ys) if ys else [], pa.float64())], [*batch.schema.names[:-1], "score"])

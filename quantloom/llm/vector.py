@@ -75,14 +75,22 @@ def words_of(texts: list[bytes], spaces: bytes = SPACES) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, text_starts), text_starts, prefix)
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK):
-    """(low, high) ranges of texts of about ``limit`` bytes."""
+def sliced(batches, rows: int = 1024):
+    """The batches in slices of few rows, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def blocks(texts: list[bytes], limit: int = BLOCK, others: list[bytes] | None = None):
+    """(low, high) ranges of texts, and of others beside them, of about ``limit`` bytes."""
     low = size = 0
     for k, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        n = len(t) + (len(others[k]) if others else 0)
+        if size and size + n > limit:
             yield low, k
             low, size = k, 0
-        size += len(t)
+        size += n
     if low < len(texts):
         yield low, len(texts)
 
