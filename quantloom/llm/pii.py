@@ -177,5 +177,6 @@ def _digest(spans: Column) -> Column:
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
