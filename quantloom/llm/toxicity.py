@@ -6,7 +6,8 @@ of the lists does.  The label model is a two-class mixture over vote patterns,
 fitted by expectation-maximisation on the pattern counts of all documents,
 with the labelled training rows held to their class.  Voters whose votes are
 still correlated inside a class share one voice.  A sparse logistic regression
-over hashed words and stems then learns the posteriors and scores texts.
+over hashed words and stems then learns the posteriors, which for a labelled
+training row are its label, and scores texts.
 """
 
 from __future__ import annotations
@@ -243,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Lis
     model = fit_label_model(columns["votes"], columns["u"].astype(float), np.stack([columns["n0"], columns["n1"]], 1).astype(float))
     posterior = model.posterior(columns["votes"])
     table = F.broadcast(docs.sparkSession.createDataFrame([(int(v), float(p)) for v, p in zip(columns["votes"], posterior, strict=True)], "votes long, target double"))
-    placed = voted.join(table, "votes").select("doc_id", "target")
+    known = F.when(F.col("known").isNotNull(), F.col("known").cast("double")).otherwise(F.col("target"))
+    placed = voted.join(table, "votes").join(mean, "doc_id", "left").select("doc_id", known.alias("target"))
     sides = [placed.where(x).groupBy("doc_id").agg(F.max("target").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS // 2) for x in (F.col("target") >= 0.5, F.col("target") < 0.5)]
     found = _gather(docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id"))
     linear = fit_linear(*_presence(found)) if found.num_rows else Linear(np.zeros(0, np.uint64), np.zeros(0), float(np.log(model.prior / (1 - model.prior))))
