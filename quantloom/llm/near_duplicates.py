@@ -47,7 +47,9 @@ BAND_BITS = 7
 DELETIONS_TO = 8
 #: Rows of other classes that a bucket may hold and still be compared through.
 MINORITY = 8
-SHARE = 0.1
+SHARE = 0.25
+#: Members from which a component counts as a family, whose outsiders are compared with members at random first.
+FAMILY = 8
 #: Pairs of texts that are unpacked at a time.
 PAIRS = 64
 
@@ -277,11 +279,27 @@ def unresolved(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(mixed, "k")
 
 
+def _shape(members: DataFrame) -> DataFrame:
+    """(k, n, main, most): rows of each bucket, its largest component and that one's rows."""
+    per_label = members.groupBy("k", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "k")).alias("one"))
+    return per_label.groupBy("k").agg(F.sum("n").alias("n"), F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
+
+
+def outsiders(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members outside its largest component with a member of it at random, where that one is a family.
+
+    An outsider meets another member in every bucket, so one that has links
+    into the family finds some here.
+    """
+    shape = _shape(members).where(F.col("most") >= FAMILY).select("k", F.col("main.label").alias("main"), F.col("main.one").alias("b"))
+    pairs = members.join(shape, "k").where("label <> main").select(F.col("node").alias("a"), "b").distinct()
+    return pairs.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit()).select("a", "b")
+
+
 def split_by_cost(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members, with their bucket's largest component as ``main``, of the buckets with few others, and of the rest."""
-    per_label = members.groupBy("k", "label").agg(F.count("*").alias("n"))
-    shape = per_label.groupBy("k").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
-    rows = written(members.join(shape, "k").select("k", "node", "label", "main", (F.col("n") - F.col("most")).alias("others")))
+    shape = _shape(members).select("k", F.col("main.label").alias("main"), (F.col("n") - F.col("most")).alias("others"))
+    rows = written(members.join(shape, "k"))
     return rows.where(F.col("others") <= MINORITY), rows.where(F.col("others") > MINORITY)
 
 
@@ -293,15 +311,26 @@ def lost_weight(dear: DataFrame, losses: DataFrame) -> DataFrame:
 
 
 def across(cheap: DataFrame, sizes: DataFrame, lost: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in as many cheap buckets as linked ones must."""
-    few = cheap.where("label <> main").select("k", F.col("node").alias("a"), F.col("label").alias("la"))
-    every = cheap.select("k", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = few.join(every, "k").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
+    """Pairs of different components that meet in as many cheap buckets as linked ones must.
+
+    A set that meets the sets of a component in too few buckets, whichever it
+    meets, has no link into it; such sets leave before pairs are made.  Of a
+    pair, one is outside its bucket's largest component.
+    """
+    plan = _plan(cheap.sparkSession)
+    labels = cheap.select("k", F.col("label").alias("other")).distinct()
+    meets = cheap.join(labels, "k").where("label <> other").withColumn("band", _band())
+    often = meets.groupBy("node", "other", "band").agg(F.count("*").alias("n")).join(lost, ["node", "band"], "left").join(plan, "band")
+    often = often.where((F.col("weight") == 2) | (F.col("n") >= F.col("spare") + 1 - F.coalesce("lost", F.lit(0)))).select("node", "other", "band")
+    left = written(meets.join(often, ["node", "other", "band"]).select("k", "node", "label", "other", "main"))
+    one = left.where("label <> main").select("k", F.col("node").alias("a"), F.col("label").alias("la"), F.col("other").alias("lb"))
+    two = left.select("k", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("other").alias("la"))
+    pairs = one.join(two, ["k", "la", "lb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
     met = pairs.withColumn("band", _band()).groupBy("a", "b", "band").agg(F.count("*").alias("n"))
-    met = met.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit())
-    met = met.join(lost.toDF("a", "band", "xa"), ["a", "band"], "left").join(lost.toDF("b", "band", "xb"), ["b", "band"], "left").join(_plan(cheap.sparkSession), "band")
+    met = met.join(lost.toDF("a", "band", "xa"), ["a", "band"], "left").join(lost.toDF("b", "band", "xb"), ["b", "band"], "left").join(plan, "band")
     least = F.col("spare") + 1 - F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0)))
-    return met.where((F.col("weight") == 2) | (F.col("n") >= least)).select("a", "b").distinct()
+    met = met.where((F.col("weight") == 2) | (F.col("n") >= least)).select("a", "b").distinct()
+    return met.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit()).select("a", "b")
 
 
 def short_of_spare(lost: DataFrame) -> DataFrame:
@@ -354,6 +383,9 @@ def link(docs: DataFrame) -> DataFrame:
     pairs = cut(likely(stars, sizes))
     found = cut(verify(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)))
     labels = components(found)
+    second = cut(outsiders(unresolved(stars, labels), sizes))
+    found = cut(found.unionByName(verify(second, texts_of(second.select(F.explode(F.array("a", "b")).alias("node")), docs))).distinct())
+    labels = components(found)
     cheap, dear = split_by_cost(unresolved(stars, labels))
     lost = cut(lost_weight(dear, losses))
     rest = cut(across(cheap, sizes, lost))
@@ -362,7 +394,7 @@ def link(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         own = written(texts_of(left, docs))
         more = more.unionByName(verify(cut(by_rare_shingles(left, own, labels)), own))
-    links = cut(found.unionByName(more))
+    links = cut(found.unionByName(more).distinct())
     labels = components(links)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of_class = labels.join(least, "label").select("node", "component_id")
