@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector import blocks, sliced, words_of
+from .vector import BLOCK, blocks, sliced, words_of
 
 PASSAGE = 64
 #: Labelled documents to fit on at most, and passages of each, evenly spaced; scoring takes all passages.
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = _texts(batch, 0)
-            for low, high in blocks(texts):
+            for low, high in blocks(texts, BLOCK // 4):
                 x, bounds = encode(texts[low:high])
                 rows = []
                 for d in range(high - low):
@@ -173,13 +173,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Every passage counts.  Null and empty texts are one empty passage; without
     a model all scores are 0.5.  Columns of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "top_passage")]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    rows = docs.drop("score", "top_passage")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts, ys, tops = _texts(batch, batch.num_columns - 1), [], []
-            for low, high in blocks(texts):
+            texts, ys, tops = [(t or "").encode() for t in batch.column(at).to_pylist()], [], []
+            for low, high in blocks(texts, BLOCK // 4):
                 x, bounds = encode(texts[low:high])
                 if model is None:
                     ys.append(np.full(high - low, 0.5))
@@ -190,9 +190,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 order = np.lexsort((-f["a"], np.repeat(np.arange(high - low), np.diff(bounds))))
                 tops.append(order[bounds[:-1]] - bounds[:-1])
             out = [pa.array(np.concatenate(v) if v else [], t) for v, t in ((ys, pa.float64()), (tops, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*batch.schema.names[:-1], "score", "top_passage"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "score", "top_passage"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     return rows.mapInArrow(run, ", ".join([*fields, "score double", "top_passage long"]))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .quality import _texts, fold
-from .vector import blocks, mix, sliced, words_of
+from .vector import BLOCK, blocks, mix, sliced, words_of
 
 THRESHOLD = 0.3
 #: Rows to learn from at most: labelled ones for the lists, rows with posteriors for the classifier (half of either side).
@@ -102,7 +102,7 @@ def _gather(rows: DataFrame) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = _texts(batch, 0)
-            for low, high in blocks(texts):
+            for low, high in blocks(texts, BLOCK // 4):
                 d, h, _, _ = features(texts[low:high])
                 cut = np.searchsorted(d, np.arange(high - low + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), batch.column(1).slice(low, high - low)], ["h", "target"])
@@ -145,16 +145,16 @@ def learn_lists(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit:
 
 def vote(docs: DataFrame, lists: Lists) -> DataFrame:
     """``docs`` with ``votes``: bit k is set where voter k speaks."""
-    kept = [c for c in docs.columns if c != "votes"]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    rows = docs.drop("votes")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = _texts(batch, batch.num_columns - 1)
-            votes = [lists.votes(texts[a:b]) for a, b in blocks(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(votes) if votes else [], pa.int64())], [*batch.schema.names[:-1], "votes"])
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            votes = [lists.votes(texts[a:b]) for a, b in blocks(texts, BLOCK // 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(votes) if votes else [], pa.int64())], [*batch.schema.names, "votes"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     return rows.mapInArrow(run, ", ".join([*fields, "votes long"]))
 
 
@@ -254,16 +254,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Lis
 
 def score(docs: DataFrame, linear: Linear) -> DataFrame:
     """``docs`` with ``score``; null texts count as empty, columns of that name are replaced."""
-    kept = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    rows = docs.drop("score")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = _texts(batch, batch.num_columns - 1)
-            ys = [linear.scores(texts[a:b]) for a, b in blocks(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(ys) if ys else [], pa.float64())], [*batch.schema.names[:-1], "score"])
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            ys = [linear.scores(texts[a:b]) for a, b in blocks(texts, BLOCK // 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ys) if ys else [], pa.float64())], [*batch.schema.names, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
 
 
