@@ -1,11 +1,12 @@
-"""Fuzzy repeated passages: k-mer seeds are joined, chained with gap costs through a Fenwick tree, and aligned.
+"""Fuzzy repeated passages: k-mer seeds are joined, chained with gap costs through a tree of maxima, and aligned.
 
 Seeds are minimisers of runs of eight words: any 19 words in common share one.
 Every occurrence of a seed is matched with the one before it in the same text,
 or with the first of all, by document and place; batches do so among themselves before the shuffle, so a seed that all
 documents have sends one row per batch.  Matches of two documents form chains
-that ascend in both; chains are aligned on the words of both texts, extended
-at their ends, and united per document.
+that ascend in both; chains are extended at their ends, aligned on the words of
+both texts, split at their widest gaps until what is left is alike enough, and
+united per document.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MIN_WORDS, MIN_CHAIN, SIMILARITY = 40, 12, 0.8
 #: Gain of a seed, cost of a word that a gap skips in either text, longest gap.
 GAIN, COST, MAX_GAP = 4.0, 0.05, 48
 JOIN_GAP = 4
+#: Words from one seed to the next on a diagonal up to which they are one stretch.
+STRETCH = K + WINDOW
+NONE = (-1e18, -1)
 
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,73 +100,82 @@ def anchors(docs: DataFrame) -> DataFrame:
     return found.repartition(shuffle_parts(docs), place).mapInArrow(meet, shape).drop("k")
 
 
-class Fenwick:
-    """Largest (value, index) over a prefix."""
+class Reach:
+    """Largest (value, index) over a range of places, as a tree; entries can be taken out again."""
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
+        self.n = n
+        self.best = [NONE] * (2 * n)
 
     def put(self, i: int, item: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if item > self.best[i]:
-                self.best[i] = item
-            i += i & -i
-
-    def below(self, i: int) -> tuple[float, int]:
-        """Over the first i places."""
-        found = (-1e18, -1)
-        while i:
-            found = max(found, self.best[i])
-            i -= i & -i
+        i += self.n
+        self.best[i] = item
+        while i > 1:
+            i >>= 1
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def between(self, low: int, high: int) -> tuple[float, int]:
+        """Over the places from low to before high."""
+        found, low, high = NONE, low + self.n, high + self.n
+        while low < high:
+            if low & 1:
+                found, low = max(found, self.best[low]), low + 1
+            if high & 1:
+                high -= 1
+                found = max(found, self.best[high])
+            low, high = low >> 1, high >> 1
         return found
 
 
-def chain(pa_: np.ndarray, pb: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(a start, a end, b start, b end) of the chains of one pair's anchors, sorted by pa, then pb.
+def chain(pa_: np.ndarray, pb: np.ndarray) -> list[list[list[int]]]:
+    """The chains of one pair's anchors, sorted by pa, then pb: the (a start, a end, b start, b end) of their stretches.
 
     Anchors on one diagonal that are close are one stretch.  A stretch gains
     by its seeds, a link costs by the words it skips in either text, which is
-    a sum of terms of its two ends: so the best predecessor among those that
-    end before it in b is a prefix maximum, kept in a Fenwick tree, while the
-    order of ends and starts in a decides what is in the tree.
+    a sum of terms of its two ends: so the best predecessor is the largest of
+    those that end in reach before it in both texts.  Places are the ends in
+    b; those out of reach in a have been taken out.
     """
     order = np.lexsort((pa_, pb - pa_))
     a, b = pa_[order], pb[order]
     new = np.ones(len(a), bool)
-    new[1:] = ((b - a)[1:] != (b - a)[:-1]) | (np.diff(a) > K + WINDOW)
+    new[1:] = ((b - a)[1:] != (b - a)[:-1]) | (np.diff(a) > STRETCH)
     first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(a)) - 1
     a0, a1, b0, b1 = a[first], a[last] + K, b[first], b[last] + K
+    wide = np.stack([a0, a1, b0, b1], 1)
     if len(first) == 1:
-        return [(int(a0[0]), int(a1[0]), int(b0[0]), int(b1[0]))]
-    gain = GAIN * (last - first + 1)
-    places = np.unique(np.concatenate([b0, b1]))
-    rank0, rank1 = np.searchsorted(places, b0), np.searchsorted(places, b1)
-    tree, score, before = Fenwick(len(places)), gain.astype(float), np.full(len(first), -1)
-    events = sorted([(int(x), 1, i) for i, x in enumerate(a0)] + [(int(x), 0, i) for i, x in enumerate(a1)])
-    for at, starts, i in events:
-        if starts:
-            value, j = tree.below(int(rank0[i]) + 1)
-            if j >= 0 and a0[i] - a1[j] <= MAX_GAP and b0[i] - b1[j] <= MAX_GAP and value - COST * (at + b0[i]) > 0:
+        return [wide.tolist()]
+    by_end = np.argsort(b1, kind="stable")
+    place = np.empty(len(first), np.int64)
+    place[by_end] = np.arange(len(first))
+    low, high = np.searchsorted(b1[by_end], b0 - MAX_GAP), np.searchsorted(b1[by_end], b0, side="right")
+    tree, score, before = Reach(len(first)), GAIN * (last - first + 1.0), np.full(len(first), -1)
+    events = sorted([(int(x), 1, i) for i, x in enumerate(a0)] + [(int(x), 0, i) for i, x in enumerate(a1)] + [(int(x) + MAX_GAP, 2, i) for i, x in enumerate(a1)])
+    for at, kind, i in events:
+        if kind == 0:
+            tree.put(int(place[i]), (score[i] + COST * (at + b1[i]), i))
+        elif kind == 2:
+            tree.put(int(place[i]), NONE)
+        else:
+            value, j = tree.between(int(low[i]), int(high[i]))
+            if j >= 0 and value - COST * (at + b0[i]) > 0:
                 score[i] += value - COST * (at + b0[i])
                 before[i] = j
-        else:
-            tree.put(int(rank1[i]), (score[i] + COST * (at + b1[i]), i))
     out, used = [], np.zeros(len(first), bool)
     for i in np.argsort(-score, kind="stable"):
         if used[i]:
             continue
-        end = j = int(i)
-        used[j] = True
-        while before[j] >= 0 and not used[before[j]]:
-            j = int(before[j])
-            used[j] = True
-        out.append((int(a0[j]), int(a1[end]), int(b0[j]), int(b1[end])))
+        own = [int(i)]
+        used[i] = True
+        while before[own[-1]] >= 0 and not used[before[own[-1]]]:
+            own.append(int(before[own[-1]]))
+            used[own[-1]] = True
+        out.append(wide[own[::-1]].tolist())
     return out
 
 
 def chains(found: DataFrame) -> DataFrame:
-    """(a, a0, a1, b, b0, b1) from anchors; the anchors of a document are at most its seeds."""
+    """(a, b, parts) from anchors: the stretches of a chain, four numbers each; the anchors of a document are at most its seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -178,12 +191,13 @@ def chains(found: DataFrame) -> DataFrame:
             yield done([rest])
 
     def done(groups: list[np.ndarray]) -> pa.RecordBatch:
-        rows = [(g[0, 0], x[0], x[1], g[0, 2], x[2], x[3]) for g in groups for x in chain(g[:, 1], g[:, 3])]
-        wide = np.array(rows, np.int64).reshape(-1, 6)
-        return _batch(dict(zip(("a", "a0", "a1", "b", "b0", "b1"), wide.T, strict=True)))
+        rows = [(g[0, 0], g[0, 2], x) for g in groups for x in chain(g[:, 1], g[:, 3]) if x[-1][1] - x[0][0] >= MIN_CHAIN]
+        ids = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
+        parts = pa.array([np.array(r[2], np.int64).tobytes() for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), parts], ["a", "b", "parts"])
 
     sorted_rows = found.repartition(shuffle_parts(found), "a").sortWithinPartitions("a", "b", "pa", "pb")
-    return sorted_rows.mapInArrow(run, "a long, a0 long, a1 long, b long, b0 long, b1 long")
+    return sorted_rows.mapInArrow(run, "a long, b long, parts binary")
 
 
 def align(x: np.ndarray, y: np.ndarray) -> int:
@@ -219,6 +233,22 @@ def extend(x: np.ndarray, y: np.ndarray, a0: int, a1: int, b0: int, b1: int) ->
     return a0 - left, a1 + right, b0 - left, b1 + right
 
 
+def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(a start, a end, equal words) of a chain that is alike enough, or else of the parts of it that are, split at the widest gaps."""
+    out, todo = [], [parts]
+    while todo:
+        now = todo.pop()
+        a0, a1, b0, b1 = extend(x, y, *(int(v) for v in (now[0, 0], now[-1, 1], now[0, 2], now[-1, 3])))
+        equal = align(x[a0:a1], y[b0:b1])
+        if equal >= SIMILARITY * max(a1 - a0, b1 - b0):
+            out.append((a0, a1, equal))
+        elif len(now) > 1:
+            gap = np.maximum(now[1:, 0] - now[:-1, 1], now[1:, 2] - now[:-1, 3])
+            at = int(gap.argmax()) + 1
+            todo += [now[at:], now[:at]]
+    return out
+
+
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = cut(ids.distinct())
     return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
@@ -233,7 +263,7 @@ def passages(docs: DataFrame) -> DataFrame:
     rows of one doc_id count as one document, rows without one as none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = cut(chains(anchors(docs)).where(F.col("a1") - F.col("a0") >= MIN_CHAIN))
+    found = cut(chains(anchors(docs)))
     texts = _wanted(docs, found.select(F.explode(F.array("a", "b")).alias("doc_id"))).groupBy("doc_id").agg(F.min("text").alias("text"))
     sides = cut(texts.select("doc_id", F.col("text").cast("binary").alias("text")))
     joined = found.join(sides.toDF("a", "ta"), "a").join(sides.toDF("b", "tb"), "b")
@@ -253,14 +283,11 @@ def passages(docs: DataFrame) -> DataFrame:
                 rows = []
                 for r in batch.slice(low, 256).to_pylist():
                     x, y = hashes(r["a"], r["ta"]), hashes(r["b"], r["tb"])
-                    a0, a1, b0, b1 = extend(x, y, r["a0"], r["a1"], r["b0"], r["b1"])
-                    equal = align(x[a0:a1], y[b0:b1])
-                    if equal >= SIMILARITY * max(a1 - a0, b1 - b0):
-                        rows.append((r["a"], a0, a1, equal, r["b"]))
+                    rows += [(r["a"], *part, r["b"]) for part in judge(x, y, np.frombuffer(r["parts"], np.int64).reshape(-1, 4))]
                 wide = np.array(rows, np.int64).reshape(-1, 5)
                 yield _batch(dict(zip(("doc_id", "low", "high", "n_equal", "other"), wide.T, strict=True)))
 
-    aligned = joined.select("a", "a0", "a1", "b", "b0", "b1", "ta", "tb").mapInArrow(run, "doc_id long, low long, high long, n_equal long, other long")
+    aligned = joined.select("a", "b", "parts", "ta", "tb").mapInArrow(run, "doc_id long, low long, high long, n_equal long, other long")
     w = Window.partitionBy("doc_id").orderBy("low", "high", "other", "n_equal")
     fresh = F.coalesce(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)) + JOIN_GAP, F.lit(True))
     island = aligned.withColumn("new", fresh.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -121,6 +121,24 @@ def test_chain_crosses_gaps_in_order():
     assert len(mixed) == 3
 
 
+def test_passages_beside_foreign_words(spark):
+    """Two passages with other words between them in each text are two; after a long one, what is near still links."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    p, q = fresh(50), fresh(50)
+    rows = [(i, " ".join(fresh(9) + p + fresh(35) + q + fresh(9))) for i in range(2)]
+    got = sorted((r.doc_id, r.start, r.length) for r in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 9, 50), (1, 94, 50)]
+
+
+def test_chain_reaches_the_near_predecessor():
+    import numpy as np
+
+    long, near = np.arange(0, 500, 5), np.array([700, 705, 720, 725])
+    found = substrings.chain(np.concatenate([long, near]), np.concatenate([long, near[:2], near[2:] + 8]))
+    assert sorted((c[0][0], c[-1][1]) for c in found) == [(0, 503), (700, 733)]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     from quantloom.llm.common import written
