@@ -1,9 +1,12 @@
 """Fuzzy repeated passages: k-mer seeds are joined, chained with gap costs through a tree of maxima, and aligned.
 
-Seeds are minimisers of runs of eight words: any 19 words in common share one.
-Every occurrence of a seed is matched with the one before it in the same text,
-or with the first of all, by document and place; batches do so among themselves before the shuffle, so a seed that all
-documents have sends one row per batch.  Matches of two documents form chains
+Every word starts two short seeds, four words and four more that follow at once
+or after one word between, so that a word replaced, put in or left out every
+fifth word still leaves seeds.  Every occurrence of a seed is matched with the first of all,
+by document and place, and with the one before it in the same text; blocks do so
+among themselves before the shuffle.  Passages with edits are
+found through short seeds whose first holder has the passage too.
+Matches of two documents form chains
 that ascend in both; chains are extended at their ends, aligned on the words of
 both texts, split at their widest gaps until what is left is alike enough, and
 united per document.
@@ -11,93 +14,146 @@ united per document.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts
+from .common import BROADCAST_ROWS, cut, shuffle_parts, written
 from .near_duplicates import _batch, _texts
-from .vector import blocks, runs, sliced, words_of
+from .vector import blocks, mix, runs, sliced, words_of
 
-K, WINDOW = 8, 12
-#: Words of a passage at least, united, and of a chain that counts towards one; share of equal words.
+#: Words of each half of a seed; seeds whose halves lie so many words apart.
+K, APART = 4, (0, 1)
+#: Words of a passage at least, united, and of a grown chain that counts towards one; share of equal words.
 MIN_WORDS, MIN_CHAIN, SIMILARITY = 40, 12, 0.8
-#: Gain of a seed, cost of a word that a gap skips in either text, longest gap.
+#: Gain of half a seed, cost of a word that a gap skips in either text, longest gap.
 GAIN, COST, MAX_GAP = 4.0, 0.05, 48
 JOIN_GAP = 4
-#: Words from one seed to the next on a diagonal up to which they are one stretch.
-STRETCH = K + WINDOW
+#: Words from one half to the next on a diagonal up to which they are one stretch.
+STRETCH = K + 1
 NONE = (-1e18, -1)
+#: The keys are joined in so many parts, one after the other, which bounds the disk that the exchange takes.
+PASSES = 4
+#: Rows of packed numbers travel under this many times more names than there are partitions.
+SPREAD = 8
 
 
-def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, text, word) of the minimisers of texts long enough for a passage."""
+def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, spot) of texts long enough for a passage, by text and spot, in one of several parts of the keys.
+
+    A spot is twice the word where the seed starts, plus the words between its
+    halves.
+    """
     w = words_of([t.lower() for t in texts])
     h, at = runs(w.hashes(), w.first, K)
     doc = np.searchsorted(w.first, at, side="right") - 1
-    long = np.diff(w.first)[doc] >= MIN_WORDS
-    h, at, doc = h[long], at[long], doc[long]
-    if len(h) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(len(h) - WINDOW + 1)
-    inside = doc[WINDOW - 1 :] == doc[: len(doc) - WINDOW + 1]
-    chosen = np.unique(least[inside])
-    return h[chosen].view(np.int64), doc[chosen], at[chosen] - w.first[doc[chosen]]
-
-
-def _match(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order, distinct, and for each the row it is matched with: the one before it in its document, or else the first with its seed."""
-    order = np.lexsort((place, doc, key))
-    key, doc, place = key[order], doc[order], place[order]
+    end = w.first[doc + 1]
+    keep = end - w.first[doc] >= MIN_WORDS
+    h, at, doc, end = h[keep], at[keep], doc[keep], end[keep]
+    n, keys, good = len(h), [], []
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for skip in APART:
+            keys.append(mix(h * factor + np.roll(h, -K - skip)))
+            good.append(end - at >= 2 * K + skip)
+    key, good = np.stack(keys, 1).ravel() if n else np.zeros(0, np.uint64), np.stack(good, 1).ravel()
+    good &= (key >> np.uint64(7)) % np.uint64(parts) == part
+    take = np.flatnonzero(good)
+    row, kind = take // len(keys), take % len(keys)
+    return key[take].view(np.int64), doc[row], 2 * (at[row] - w.first[doc[row]]) + kind
+
+
+def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(loose, matched): the rows (key, doc, spot) of the first document of each key, and the rows (a, spot, b, spot) of matches.
+
+    A row is matched with the first of its key, if that is of another
+    document, and with the one before it in its own.
+    """
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    lone = np.zeros(len(key), bool)
+    lone[order] = ~same[:-1] & ~same[1:]
+    # In their first order, which packs well.
+    alone = np.stack([key[lone], doc[lone], spot[lone]], 1)
+    key, doc, spot = key[~lone], doc[~lone], spot[~lone]
+    order = np.lexsort((spot, doc, key))
+    key, doc, spot = key[order], doc[order], spot[order]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-    key, doc, place = key[fresh], doc[fresh], place[fresh]
+    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1])
+    key, doc, spot = key[fresh], doc[fresh], spot[fresh]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
-    if not len(key):
-        return key, doc, place, np.zeros(0, np.int64)
-    within = ~head
-    within[1:] &= doc[1:] == doc[:-1]
-    return key, doc, place, np.where(within, np.arange(len(key)) - 1, np.flatnonzero(head)[np.cumsum(head) - 1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    own = doc == doc[first]
+    again = np.flatnonzero(~head[1:] & (doc[1:] == doc[:-1])) + 1
+    loose = np.concatenate([alone, np.stack([key[own], doc[own], spot[own]], 1)])
+    pairs = [(np.flatnonzero(~own), first[~own]), (again, again - 1)]
+    matched = np.concatenate([np.stack([doc[x], spot[x], doc[y], spot[y]], 1) for x, y in pairs])
+    return loose, matched[np.lexsort((matched[:, 1], matched[:, 2], matched[:, 0]))]
+
+
+def _packed(kind: int, rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(p, kind, rows): rows of numbers dealt by the first of them and packed, one row per part."""
+    with np.errstate(over="ignore"):
+        p = (mix(rows[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(p, kind="stable")
+    rows, p = rows[order], p[order]
+    cuts = np.flatnonzero(np.diff(p)) + 1
+    names = p[np.concatenate([[0], cuts])] if len(p) else p
+    packed = [np.ascontiguousarray(x.T).tobytes() for x in np.split(rows, cuts)] if len(p) else []
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), kind)), pa.array(packed, pa.binary())], ["p", "kind", "rows"])
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, width), np.int64), *(np.frombuffer(x, np.int64).reshape(width, -1).T for x in column.to_pylist())])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(a, pa, b, pb): word pa of document a starts a seed whose first occurrence is at word pb of document b."""
-    shape = "k long, a long, pa long, b long, pb long"
-
-    def rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, heads: bool) -> pa.RecordBatch:
-        own = first == np.arange(len(first))
-        keep = own if heads else ~own
-        to = first[keep]
-        pb = np.full(len(to), -1) if heads else place[to]
-        return _batch({"k": key[keep], "a": doc[keep], "pa": place[keep], "b": doc[to], "pb": pb})
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)
-            for low, high in blocks(texts):
-                key, doc, place = seeds(texts[low:high])
-                found = _match(key, ids[low:high][doc].astype(np.int64), place)
-                yield rows(*found, heads=True)
-                yield rows(*found, heads=False)
+    """(p, kind, rows): packed rows (a, spot, b, spot), dealt by a: a seed of document a that an earlier place, in b, holds."""
+    parts = shuffle_parts(docs) * SPREAD
+    shape = "p long, kind long, rows binary"
+
+    def emit(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)
+                for low, high in blocks(texts):
+                    key, doc, spot = seeds(texts[low:high], part, PASSES)
+                    loose, matched = _match(key, ids[low:high][doc].astype(np.int64), spot)
+                    yield _packed(0, loose, parts)
+                    yield _packed(1, matched, parts)
+
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            k, a, p, b, q = (c.to_numpy() for c in batch.columns)
-            loose = q < 0
-            held.append((k[loose], a[loose], p[loose]))
-            yield _batch({"k": k[~loose], "a": a[~loose], "pa": p[~loose], "b": b[~loose], "pb": q[~loose]})
+            loose = pa.compute.equal(batch.column(1), 0)
+            held.append(_unpacked(batch.column(2).filter(loose), 3))
+            yield batch.filter(pa.compute.invert(loose))
         if held:
-            yield rows(*_match(*(np.concatenate(x) for x in zip(*held, strict=True))), heads=False)
-
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
-    # Rows that are matched already needn't come to their seed: they are dealt by document and place.
-    place = F.when(F.col("pb") < 0, F.col("k")).otherwise(F.xxhash64("a", "pa"))
-    return found.repartition(shuffle_parts(docs), place).mapInArrow(meet, shape).drop("k")
+            rows = np.concatenate(held)
+            held.clear()
+            matched = _match(rows[:, 0], rows[:, 1], rows[:, 2])[1]
+            # The repeats inside one document have been matched already.
+            yield _packed(1, matched[matched[:, 0] != matched[:, 2]], parts)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    found = None
+    for part in range(PASSES):
+        one = written(texts.mapInArrow(emit(part), shape).repartition(shuffle_parts(docs), "p").mapInArrow(meet, shape))
+        found = one if found is None else found.unionByName(one)
+        # Spark deletes an exchange's files once its plan is collected, here and in the JVM.
+        gc.collect()
+        docs.sparkSession._jvm.System.gc()
+    return found
 
 
 class Reach:
@@ -175,29 +231,41 @@ def chain(pa_: np.ndarray, pb: np.ndarray) -> list[list[list[int]]]:
 
 
 def chains(found: DataFrame) -> DataFrame:
-    """(a, b, parts) from anchors: the stretches of a chain, four numbers each; the anchors of a document are at most its seeds."""
+    """(a, b, parts): the chains of each pair, from packed anchors; a chain is its stretches of four numbers each, after their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = np.stack([c.to_numpy() for c in batch.columns], 1)
-            now = now if rest is None else np.concatenate([rest, now])
-            if not len(now):
-                continue
-            cuts = np.flatnonzero((np.diff(now[:, 0]) != 0) | (np.diff(now[:, 2]) != 0)) + 1
-            rest = now[cuts[-1] if len(cuts) else 0 :]
-            yield done(np.split(now, cuts)[:-1])
-        if rest is not None:
-            yield done([rest])
-
-    def done(groups: list[np.ndarray]) -> pa.RecordBatch:
-        rows = [(g[0, 0], g[0, 2], x) for g in groups for x in chain(g[:, 1], g[:, 3]) if x[-1][1] - x[0][0] >= MIN_CHAIN]
-        ids = np.array([r[:2] for r in rows], np.int64).reshape(-1, 2)
-        parts = pa.array([np.array(r[2], np.int64).tobytes() for r in rows], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), parts], ["a", "b", "parts"])
-
-    sorted_rows = found.repartition(shuffle_parts(found), "a").sortWithinPartitions("a", "b", "pa", "pb")
-    return sorted_rows.mapInArrow(run, "a long, b long, parts binary")
+        held = [_unpacked(batch.column(2), 4) for batch in batches]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        held.clear()
+        a, sa, b, sb = rows.T
+        halves = [np.stack([a, b, sa // 2, sb // 2], 1), np.stack([a, b, sa // 2 + sa % 2 + K, sb // 2 + sb % 2 + K], 1)]
+        rows = np.concatenate(halves)
+        rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+        rows = rows[fresh]
+        cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1
+        edges = np.concatenate([[0], cuts, [len(rows)]])
+        for low in range(0, len(edges) - 1, 4096):
+            ids, parts = [], []
+            for x, y in zip(edges[low : low + 4096], edges[low + 1 : low + 4097], strict=False):
+                if x < y:
+                    ids.append(rows[x, :2])
+                    parts.append(b"".join(np.array([len(c), *np.ravel(c)], np.int64).tobytes() for c in chain(rows[x:y, 2], rows[x:y, 3])))
+            ids = np.array(ids, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(parts, pa.binary())], ["a", "b", "parts"])
+
+    return found.repartition(shuffle_parts(found), "p").mapInArrow(run, "a long, b long, parts binary")
+
+
+def chains_of(packed: bytes) -> Iterator[np.ndarray]:
+    numbers, at = np.frombuffer(packed, np.int64), 0
+    while at < len(numbers):
+        n = 4 * int(numbers[at])
+        yield numbers[at + 1 : at + 1 + n].reshape(-1, 4)
+        at += 1 + n
 
 
 def align(x: np.ndarray, y: np.ndarray) -> int:
@@ -222,14 +290,19 @@ def align(x: np.ndarray, y: np.ndarray) -> int:
     return common + int(row[-1])
 
 
+def _grow(same: np.ndarray) -> int:
+    """Words to go on: as far as equal words gain most, if one that differs costs what SIMILARITY sets against it."""
+    gain = np.cumsum(np.where(same, 1.0, -SIMILARITY / (1 - SIMILARITY)).round(9))
+    best = gain.max(initial=0.0)
+    return int(np.flatnonzero(gain >= best)[-1]) + 1 if (gain >= best).any() else 0
+
+
 def extend(x: np.ndarray, y: np.ndarray, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
-    """A chain grown by the equal words at both ends; inside one text the two sides stay apart."""
+    """A chain grown at both ends, over words that differ where enough equal ones follow."""
     n = min(a0, b0)
-    same = x[a0 - n : a0][::-1] == y[b0 - n : b0][::-1]
-    left = n if same.all() else int(same.argmin())
+    left = _grow((x[a0 - n : a0] == y[b0 - n : b0])[::-1])
     n = min(len(x) - a1, len(y) - b1)
-    same = x[a1 : a1 + n] == y[b1 : b1 + n]
-    right = n if same.all() else int(same.argmin())
+    right = _grow(x[a1 : a1 + n] == y[b1 : b1 + n])
     return a0 - left, a1 + right, b0 - left, b1 + right
 
 
@@ -241,7 +314,7 @@ def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray) -> list[tuple[int, in
         a0, a1, b0, b1 = extend(x, y, *(int(v) for v in (now[0, 0], now[-1, 1], now[0, 2], now[-1, 3])))
         equal = align(x[a0:a1], y[b0:b1])
         if equal >= SIMILARITY * max(a1 - a0, b1 - b0):
-            out.append((a0, a1, equal))
+            out += [(a0, a1, equal)] if a1 - a0 >= MIN_CHAIN else []
         elif len(now) > 1:
             gap = np.maximum(now[1:, 0] - now[:-1, 1], now[1:, 2] - now[:-1, 3])
             at = int(gap.argmax()) + 1
@@ -283,7 +356,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 rows = []
                 for r in batch.slice(low, 256).to_pylist():
                     x, y = hashes(r["a"], r["ta"]), hashes(r["b"], r["tb"])
-                    rows += [(r["a"], *part, r["b"]) for part in judge(x, y, np.frombuffer(r["parts"], np.int64).reshape(-1, 4))]
+                    rows += [(r["a"], *part, r["b"]) for parts in chains_of(r["parts"]) for part in judge(x, y, parts)]
                 wide = np.array(rows, np.int64).reshape(-1, 5)
                 yield _batch(dict(zip(("doc_id", "low", "high", "n_equal", "other"), wide.T, strict=True)))
 

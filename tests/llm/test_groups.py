@@ -136,7 +136,26 @@ def test_chain_reaches_the_near_predecessor():
 
     long, near = np.arange(0, 500, 5), np.array([700, 705, 720, 725])
     found = substrings.chain(np.concatenate([long, near]), np.concatenate([long, near[:2], near[2:] + 8]))
-    assert sorted((c[0][0], c[-1][1]) for c in found) == [(0, 503), (700, 733)]
+    assert sorted((c[0][0], c[-1][1] - substrings.K) for c in found) == [(0, 495), (700, 725)]
+
+
+@pytest.mark.parametrize("how", ["replace", "insert", "delete"])
+def test_passages_edited_evenly(spark, how):
+    """One word in five to twenty is edited: brute force knows the copies, and all of them are found whole."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    rows, wanted = [], {}
+    for n, every in enumerate([5, 6, 8, 10, 14, 20] if how == "replace" else [6, 8, 10, 14, 20]):
+        p = fresh(60)
+        q = [v for k, w in enumerate(p) for v in ([w] if (k + 1) % every else {"replace": ["new%d" % k], "insert": [w, "new%d" % k], "delete": []}[how])]
+        while q[-1] not in p:
+            q.pop()
+        rows += [(2 * n, " ".join(fresh(7) + p + fresh(30))), (2 * n + 1, " ".join(fresh(11) + q + fresh(25)))]
+        wanted[2 * n + 1] = (11, len(q), [2 * n])
+    got = {r.doc_id: (r.start, r.length, r.others) for r in substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(wanted)
+    for i, (start, length, others) in wanted.items():
+        assert got[i][2] == others and got[i][0] - start <= 9 and start + length - got[i][0] - got[i][1] <= 9, (i, got[i], wanted[i])
 
 
 def test_pipeline(spark, sf):
