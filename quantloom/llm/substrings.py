@@ -2,9 +2,11 @@
 
 Every word starts two short seeds, four words and four more that follow at once
 or after one word between, so that a word replaced, put in or left out every
-fifth word still leaves seeds.  Every occurrence of a seed is matched with the first of all,
+fifth word still leaves seeds, and a long seed of forty words, which is a
+passage by itself.  Every occurrence of a seed is matched with the first of all,
 by document and place, and with the one before it in the same text; blocks do so
-among themselves before the shuffle.  Passages with edits are
+among themselves before the shuffle.  So a passage that an earlier document has
+word for word is found whatever holds its short seeds.  Passages with edits are
 found through short seeds whose first holder has the passage too.
 Matches of two documents form chains
 that ascend in both; chains are extended at their ends, aligned on the words of
@@ -27,8 +29,8 @@ from .common import BROADCAST_ROWS, cut, shuffle_parts, written
 from .near_duplicates import _batch, _texts
 from .vector import blocks, mix, runs, sliced, words_of
 
-#: Words of each half of a seed; seeds whose halves lie so many words apart.
-K, APART = 4, (0, 1)
+#: Words of each half of a seed; seeds whose halves lie so many words apart; words of a long seed.
+K, APART, LONG = 4, (0, 1), 40
 #: Words of a passage at least, united, and of a grown chain that counts towards one; share of equal words.
 MIN_WORDS, MIN_CHAIN, SIMILARITY = 40, 12, 0.8
 #: Gain of half a seed, cost of a word that a gap skips in either text, longest gap.
@@ -47,7 +49,7 @@ def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray
     """(seed, text, spot) of texts long enough for a passage, by text and spot, in one of several parts of the keys.
 
     A spot is twice the word where the seed starts, plus the words between its
-    halves.
+    halves.  Long seeds are passages by themselves.
     """
     w = words_of([t.lower() for t in texts])
     h, at = runs(w.hashes(), w.first, K)
@@ -61,11 +63,16 @@ def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray
         for skip in APART:
             keys.append(mix(h * factor + np.roll(h, -K - skip)))
             good.append(end - at >= 2 * K + skip)
+        whole = keys[0]
+        for step in range(2 * K, LONG, 2 * K):
+            whole = mix(whole * factor + np.roll(keys[0], -step) + np.uint64(step))
+    keys.append(whole)
+    good.append(end - at >= LONG)
     key, good = np.stack(keys, 1).ravel() if n else np.zeros(0, np.uint64), np.stack(good, 1).ravel()
     good &= (key >> np.uint64(7)) % np.uint64(parts) == part
     take = np.flatnonzero(good)
     row, kind = take // len(keys), take % len(keys)
-    return key[take].view(np.int64), doc[row], 2 * (at[row] - w.first[doc[row]]) + kind
+    return key[take].view(np.int64), doc[row], 2 * (at[row] - w.first[doc[row]]) + np.where(kind < len(APART), kind, 0)
 
 
 def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -158,6 +158,16 @@ def test_passages_edited_evenly(spark, how):
         assert got[i][2] == others and got[i][0] - start <= 9 and start + length - got[i][0] - got[i][1] <= 9, (i, got[i], wanted[i])
 
 
+def test_passage_whose_seeds_are_held_elsewhere(spark):
+    """Earlier documents hold every short seed of a passage amid other words; a later pair has it word for word."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"x{rng.random()}" for _ in range(n)]
+    p = fresh(44)
+    texts = [fresh(20) + p[i : i + 10] + fresh(40) for i in range(0, 44)] + [fresh(12) + p + fresh(9), fresh(21) + p + fresh(5)]
+    got = {r.doc_id: r for r in substrings.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert set(got) == {45} and (got[45].start, got[45].length) == (21, 44) and 44 in got[45].others
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     from quantloom.llm.common import written
