@@ -2,9 +2,11 @@
 
 Base matches are the seeds.  The words around a match form lexical patterns;
 patterns and instances (the matched strings) form a graph with one edge per
-distinct pair.  In rounds, a pattern's score for a kind is the mean score of
-its instances, an unseen instance's score the best of its patterns.  Patterns
-that stay above a precision with enough seeds then mark unseen strings.
+distinct pair.  In rounds, a pattern's score for a kind is the mean trust of
+its instances: one for seeds, and for an unseen instance the best score among
+its *other* patterns that are above the precision, so that no pattern vouches
+for itself and none below the precision for another.  Patterns above the
+precision with enough trusted instances mark unseen strings.
 """
 
 from __future__ import annotations
@@ -120,16 +122,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def score_patterns(found: DataFrame, rounds: int = 3, min_score: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """(pattern, kind, score, seeds) of the patterns to trust, from ``rounds`` passes over the graph."""
     edges = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
+    # A pattern of fewer instances never gets enough that are trusted.
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
     edges = cut(edges.join(sizes, "pattern"))
-    trust = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("trust")).distinct()
-    scores = None
-    for _ in range(rounds):
-        scores = edges.join(trust, "value").groupBy("pattern", "kind").agg((F.sum("trust") / F.max("n")).alias("score"), F.max("seeds").alias("seeds"))
-        unseen = edges.where("seed is null").select("pattern", "value").join(scores, "pattern").groupBy("value", "kind").agg(F.max("score").alias("trust"))
-        known = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("trust"))
-        trust = cut(known.unionByName(unseen).groupBy("value", "kind").agg(F.max("trust").alias("trust")))
-    return scores.where(F.col("score") >= min_score)
+    seeds = edges.where("seed is not null").select("pattern", "n", F.col("seed").alias("kind"), F.lit(1.0).alias("trust"))
+    unseen = edges.where("seed is null").select("pattern", "n", "value")
+
+    def judged(trust: DataFrame) -> DataFrame:
+        scores = trust.groupBy("pattern", "kind").agg((F.sum("trust") / F.max("n")).alias("score"), F.count("*").alias("seeds"))
+        return cut(scores.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)))
+
+    scores = judged(seeds)
+    for _ in range(rounds - 1):
+        given = unseen.join(scores, "pattern").select("value", "kind", "pattern", "score")
+        best = given.groupBy("value", "kind").agg(F.max(F.struct("score", "pattern")).alias("best"))
+        second = given.join(best, ["value", "kind"]).where(F.col("pattern") != F.col("best.pattern")).groupBy("value", "kind").agg(F.max("score").alias("second"))
+        others = best.join(second, ["value", "kind"], "left")
+        trust = F.when(F.col("best.pattern") != F.col("pattern"), F.col("best.score")).otherwise(F.col("second"))
+        found_by_others = unseen.join(others, "value").select("pattern", "n", "kind", trust.alias("trust")).where("trust is not null")
+        scores = judged(seeds.unionByName(found_by_others))
+    return scores
 
 
 def find(docs: DataFrame, **settings) -> DataFrame:
