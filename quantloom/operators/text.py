@@ -45,16 +45,26 @@ def ngrams(text: Column, low: int, high: int) -> Column:
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
+#: Characters by which texts and aliases meet: the most that the alias has.
+ALIAS_CLASSES = (1, 2, 3, 4, 6, 8, 12, 16)
+
+
 def link_aliases(texts: DataFrame, aliases: DataFrame, text: str, alias: str) -> DataFrame:
-    """Rows of ``texts`` joined with the aliases they contain, each pair once.
+    """Rows of ``texts`` joined with the aliases they contain, at any character, each pair once.
 
-    Texts and aliases meet on the alias's first word, so only texts that hold
-    it are searched; the containment test then decides.
+    Aliases are of a few length classes.  Texts and aliases meet on the first
+    characters of the alias, as many as its class has, among all runs of so
+    many characters of the text; only hashes of texts travel with the runs.
+    The containment test then decides.
     """
-    first = F.regexp_extract(F.ltrim(F.col(alias)), r"^(\S+)", 1)
-    keyed = aliases.withColumn("_w", first)
-    words = texts.withColumn("_w", F.explode(F.array_distinct(F.split(text, r"\s+"))))
-    return words.join(keyed, "_w").where(F.contains(F.col(text), F.col(alias))).drop("_w")
+    k = F.greatest(*[F.when(F.length(alias) >= n, F.lit(n)).otherwise(F.lit(0)) for n in ALIAS_CLASSES])
+    keyed = aliases.where(F.col(alias).isNotNull()).select(F.col(alias).alias("_alias"), k.alias("_k"), F.substring(F.col(alias), F.lit(1), k).alias("_g")).distinct()
+    sizes = sorted(r["_k"] for r in keyed.select("_k").distinct().collect())
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit("")) for n in sizes] or [F.array().cast("array<string>")]
+    grams = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(F.concat(*runs))).alias("_g"))
+    met = grams.join(keyed, "_g").select("_h", "_alias").distinct()
+    pairs = texts.withColumn("_h", F.xxhash64(text)).join(met, "_h").join(aliases.withColumn("_alias", F.col(alias)), "_alias")
+    return pairs.where(F.contains(F.col(text), F.col(alias))).drop("_h", "_alias")
 
 
 def tag_scores(texts: DataFrame, entity: str, text: str, n: int = 4, least_tf: int = 3, most_df: float = 0.5) -> DataFrame:
