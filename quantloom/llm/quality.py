@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from .vector import BLOCK, blocks, sliced, words_of
 
 PASSAGE = 64
-#: Labelled documents to fit on at most, and passages of each, evenly spaced; scoring takes all passages.
+#: Labelled documents to fit on at most; all passages of each count, as in scoring.
 FIT_DOCS = 6_000
-FIT_PASSAGES = 48
 HIDDEN, GATE = 12, 8
 THRESHOLD = 0.3
 
@@ -145,17 +144,14 @@ def _texts(part: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = FIT_DOCS) -> Model | None:
-    """Fit on a bounded sample; None where no document is labelled."""
+    """Fit on all passages of a bounded sample of documents; None where no document is labelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = _texts(batch, 0)
             for low, high in blocks(texts, BLOCK // 4):
                 x, bounds = encode(texts[low:high])
-                rows = []
-                for d in range(high - low):
-                    own = x[bounds[d] : bounds[d + 1]]
-                    rows.append(own[np.unique(np.linspace(0, len(own) - 1, FIT_PASSAGES).astype(int))].tobytes())
+                rows = [x[bounds[d] : bounds[d + 1]].tobytes() for d in range(high - low)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(low, high - low)], ["x", "target"])
 
     rows = fit_rows(docs, labels, label, limit).select(F.col("text").cast("binary"), F.col("target").cast("double"))
