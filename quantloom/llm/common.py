@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows up to which a table of a few narrow columns is sent to every executor.
 BROADCAST_ROWS = 500_000
+#: Bytes of rows that are handed to Python at a time.
+BATCH_BYTES = 4 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -30,13 +31,31 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark) -> str:
-    """The checkpoint folder the session names; one of our own only where none is set."""
+    """The checkpoint folder that the session names; there must be one, as executors share no other."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def lean(spark) -> None:
+    """Texts go to Python a few megabytes at a time, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

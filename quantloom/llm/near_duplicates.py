@@ -9,23 +9,24 @@ principle linked sets agree, nearly or wholly, in some of them:
   that one shingle more or less still meets (weight 2 each);
 * larger sets: many segments, indexed as they are (weight 1 each).
 
-The weights of a band sum to its largest distance, plus one, plus spare: a
-document may leave out segments that are empty or too common, as long as its
-spare covers them.  Segments are dear if many different classes meet in them;
-which ones are is counted, not guessed.  Documents whose spare doesn't suffice
-are compared among each other by their rarest shingles (prefix filter), so no
-link is lost.  Every candidate is verified on whole texts.
-
-Equal sets are represented by their first document.  Members of a bucket are
-first compared with its smallest member only; only buckets that verified links
-leave in several components go on.  Batches combine their own buckets before
-the shuffle, so a bucket receives one row per batch at most.  Linked sets of a
-band of weight 1 agree in more segments than the spare that both have left, so
-pairs that meet less often need no verification.
+The weights of a band sum to its largest distance, plus one, plus spare.  So
+linked sets of weight 1 meet in more buckets than a band has spare, less what
+empty segments cost: a set that meets others in fewer is linked with none and
+leaves (``narrowed``), long before pairs are made.
+
+Texts of one word sequence, told apart by a 128-bit digest, are represented by
+their first document.  The sets that are left are compared with one partner a
+bucket, twice; the links found make components.  What then still meets across
+components is narrowed again, by buckets and by shingles, and each set compared
+with all members of the components that it may be linked into, block by block.
+Links that join components are confirmed on the words themselves.  Nothing is
+capped: a step that leaves a pair out leaves it to the last one, which is
+complete.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts, small, written
+from .common import cut, lean, shuffle_parts, small, unused, written
 from .components import components
 from .vector import BLOCK, blocks, mix, runs, sliced, words_of
 
@@ -43,15 +44,17 @@ NUM, DEN = 8, 10
 #: Keys of buckets are below this; rows of members already matched carry it on top.
 MATCHED = 1 << 62
 BAND_BITS = 7
+#: Rows with this key hold a set's size.
+SIZES = -(1 << 20)
 #: Largest distance up to which a band's segments are indexed with their neighbourhoods.
 DELETIONS_TO = 8
-#: Rows of other classes that a bucket may hold and still be compared through.
-MINORITY = 8
 SHARE = 0.25
 #: Members from which a component counts as a family, whose outsiders are compared with members at random first.
 FAMILY = 8
-#: Pairs of texts that are unpacked at a time.
-PAIRS = 64
+#: Pairs of sets, and bytes of texts, that are unpacked at a time; shingles of a block of sets.
+PAIRS, TEXT_BLOCK, SET_BLOCK = 512, 1 << 19, 1 << 14
+#: Rounds of comparing each set with a partner a bucket, before the complete step.
+ROUNDS = 2
 
 
 @lru_cache(1)
@@ -83,14 +86,6 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], np.searchsorted(doc[fresh], np.arange(len(texts) + 1))
 
 
-def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, never 0."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5)), dtype=np.uint64)])
-    with np.errstate(over="ignore"):
-        total = mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
-    return np.maximum(total, np.uint64(1)).view(np.int64)
-
-
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
@@ -99,19 +94,20 @@ def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, name): size and fingerprint of each document's set; empty sets have name 0."""
+def word_digest(text: bytes | None) -> bytes | None:
+    """A 128-bit name of a text's lower-cased word sequence; None without words."""
+    words = b" ".join(text.lower().split()) if text else b""
+    return hashlib.blake2b(words, digest_size=16).digest() if words else None
+
+
+def names(docs: DataFrame) -> DataFrame:
+    """(doc_id, name): the digest of each document's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            texts = _texts(batch, 1)
-            for low, high in blocks(texts, BLOCK // 2):
-                h, first = shingles(texts[low:high])
-                n = np.diff(first)
-                name = np.where(n > 0, fingerprints(h, first), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(name)], ["doc_id", "n", "name"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_digest(t.as_py()) for t in part.column(1)], pa.binary())], ["doc_id", "name"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, name long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, name binary")
 
 
 def _ranges(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -181,244 +177,323 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, t
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """(k, a, b): bucket k holds a and its smallest member b; or, for k = -1 - band, set a loses weight b in that band."""
+    """(k, a, b): bucket k holds a and its smallest member b; for k = -1 - band, set a loses weight b in that band; for k = SIZES, set a has b shingles.
+
+    Blocks of texts match their own members first, so that a bucket receives a
+    row of each block at most.  Buckets are streamed in the order of their
+    keys; nothing but the current bucket's smallest member is held.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids, texts = batch.column(0).to_numpy(), _texts(batch, 1)
-            for low, high in blocks(texts, BLOCK // 2):
+            for low, high in blocks(texts, TEXT_BLOCK):
                 h, first = shingles(texts[low:high])
                 own = ids[low:high]
                 k, d, loss = signatures(h, first)
                 lost = loss >= 0
                 key, smallest, star = _stars(k[~lost], own[d[~lost]])
                 yield _batch({
-                    "k": np.concatenate([key, star[0] | MATCHED, k[lost]]), "a": np.concatenate([smallest, star[1], own[d[lost]]]),
-                    "b": np.concatenate([np.zeros(len(key), np.int64), star[2], loss[lost]]),
+                    "k": np.concatenate([key, star[0] | MATCHED, k[lost], np.full(len(own), SIZES)]),
+                    "a": np.concatenate([smallest, star[1], own[d[lost]], own]),
+                    "b": np.concatenate([np.zeros(len(key), np.int64), star[2], loss[lost], np.diff(first)]),
                 })
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[], []]
+        bucket, smallest = None, 0
         for batch in batches:
             k, a, b = (c.to_numpy() for c in batch.columns)
             loose = (k >= 0) & (k < MATCHED)
-            held[0].append(k[loose])
-            held[1].append(a[loose])
             yield _batch({"k": np.where(k < 0, k, k & (MATCHED - 1))[~loose], "a": a[~loose], "b": b[~loose]})
-        if held[0]:
-            k, a, b = _stars(np.concatenate(held[0]), np.concatenate(held[1]))[2]
-            yield _batch({"k": k, "a": a, "b": b})
+            k, a = k[loose], a[loose]
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            new[0] = k[0] != bucket
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            centre = np.where(at >= 0, a[at], smallest)
+            member = a != centre
+            yield _batch({"k": k[member], "a": a[member], "b": centre[member]})
+            bucket, smallest = k[-1], centre[-1]
 
     shape = "k long, a long, b long"
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
     # Rows that are matched already needn't come to their bucket: they are dealt by document.
     place = F.when((F.col("k") >= 0) & (F.col("k") < MATCHED), F.col("k")).otherwise(F.col("a"))
-    return rows.repartition(shuffle_parts(docs), place).mapInArrow(meet, shape)
+    return rows.repartition(shuffle_parts(docs), place).sortWithinPartitions("k", "a").mapInArrow(meet, shape)
 
 
 def _band(k: str = "k"):
     return F.col(k).bitwiseAND((1 << BAND_BITS) - 1).cast("int")
 
 
-def _plan(spark) -> DataFrame:
-    """(band, spare, weight): a constant table."""
-    _, _, distance, _, spare = bands()
-    rows = [(i, int(s), 2 if d <= DELETIONS_TO else 1) for i, (s, d) in enumerate(zip(spare, distance, strict=True))]
-    return F.broadcast(spark.createDataFrame(rows, "band int, spare long, weight long"))
+def _of_band(values) -> F.Column:
+    """The value of a row's band, from a constant list."""
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("band") + 1)
 
 
-def _fit(a: str = "sa", b: str = "sb"):
-    return (NUM * F.col(a) <= DEN * F.col(b)) & (NUM * F.col(b) <= DEN * F.col(a))
+def narrowed(members: DataFrame, losses: DataFrame) -> DataFrame:
+    """(k, node, label, band, lost) of ``members`` (k, node, label) in buckets of several labels, of sets that meet other labels in enough of them.
+
+    A linked set of weight 1 agrees in more segments than its band has spare;
+    those that are empty in both sets, ``lost`` at most, have no bucket.
+    """
+    _, _, distance, _, spare = bands()
+    least = [1 if d <= DELETIONS_TO else s + 1 for s, d in zip(spare, distance, strict=True)]
+    several = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
+    rows = members.join(several, "k").select("k", "node", "label", _band().alias("band"), F.lit(None).cast("long").alias("gone"))
+    both = rows.unionByName(losses.select(F.lit(None).cast("long").alias("k"), F.col("a").alias("node"), F.lit(None).cast("long").alias("label"), (-1 - F.col("k")).cast("int").alias("band"), F.col("b").alias("gone")))
+    w = Window.partitionBy("node", "band")
+    counted = both.withColumns({"meets": F.count("k").over(w), "lost": F.coalesce(F.sum("gone").over(w), F.lit(0))})
+    return counted.where(F.col("k").isNotNull() & (F.col("meets") + F.col("lost") >= _of_band(least))).select("k", "node", "label", "band", "lost")
 
 
-def likely(stars: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a member and its smallest that meet in several buckets and are alike in size.
+def members_of(stars: DataFrame) -> DataFrame:
+    """(k, node, label) of all members of the buckets; each is its own label."""
+    of = lambda c: stars.select("k", F.col(c).alias("node"))
+    return of("a").union(of("b")).distinct().withColumn("label", F.col("node"))
 
-    What this leaves out isn't lost: its buckets stay in several components.
-    """
-    met = stars.withColumn("band", _band()).groupBy("a", "b", "band").agg(F.count("*").alias("n")).join(_plan(stars.sparkSession), "band")
-    often = met.where((F.col("weight") == 2) | (2 * F.col("n") > F.col("spare"))).select("a", "b").distinct()
-    left, right = sizes.toDF("a", "sa"), sizes.toDF("b", "sb")
-    return often.join(left, "a").join(right, "b").where(_fit()).select("a", "b")
 
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the labels of their nodes; nodes without one stand for themselves."""
+    return rows.select("k", "node").join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) of nodes that are linked, judged on the texts (node, text) of both."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+
+def packed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, tokens): the sorted shingles of the documents named, as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, PAIRS):
-            ta, tb = _texts(part, 2), _texts(part, 3)
-            for low, high in blocks(ta, BLOCK // 4, tb):
-                h, first = shingles(ta[low:high] + tb[low:high])
-                m = high - low
-                pair = np.repeat(np.arange(2 * m) % m, np.diff(first))
-                order = np.lexsort((h, pair))
-                twice = (h[order][1:] == h[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-                common = np.bincount(pair[order][1:][twice], minlength=m)
-                size = np.diff(first)
-                union = size[:m] + size[m:] - common
-                good = np.flatnonzero(DEN * common >= NUM * union)
-                yield part.slice(low, m).select(["a", "b"]).take(pa.array(good))
-
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+        for batch in sliced(batches):
+            texts = _texts(batch, 1)
+            for low, high in blocks(texts, TEXT_BLOCK):
+                h, first = shingles(texts[low:high])
+                tokens = [h[first[d] : first[d + 1]].tobytes() for d in range(high - low)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(first)), pa.array(tokens, pa.binary())], ["node", "n", "tokens"])
 
+    wanted = small(cut(nodes.distinct().withColumnRenamed("node", "doc_id")))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
+    return rows.mapInArrow(run, "node long, n long, tokens binary").dropDuplicates(["node", "tokens"])
 
-def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the documents named; ``docs`` has one row for each."""
-    wanted = cut(nodes.distinct().withColumnRenamed("node", "doc_id"))
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small(wanted), "doc_id").withColumnRenamed("doc_id", "node")
 
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, numbers before each row and after the last) of a column of packed numbers."""
+    rows = [x or b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(rows), np.uint64), np.cumsum([0, *(len(x) // 8 for x in rows)])
 
-def unresolved(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """(k, node, label) of the buckets that hold several components."""
-    of = lambda c: stars.select("k", F.col(c).alias("node"))
-    members = of("a").union(of("b")).distinct().join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("k")
-    return members.join(mixed, "k")
 
+def _fit(a: str = "sa", b: str = "sb"):
+    return (NUM * F.col(a) <= DEN * F.col(b)) & (NUM * F.col(b) <= DEN * F.col(a))
 
-def _shape(members: DataFrame) -> DataFrame:
-    """(k, n, main, most): rows of each bucket, its largest component and that one's rows."""
-    per_label = members.groupBy("k", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "k")).alias("one"))
-    return per_label.groupBy("k").agg(F.sum("n").alias("n"), F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.max("n").alias("most"))
 
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) whose packed sets are linked."""
 
-def outsiders(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, PAIRS):
+            (x, fx), (y, fy), m = _numbers(part.column(2)), _numbers(part.column(3)), part.num_rows
+            pair = np.concatenate([np.repeat(np.arange(m), np.diff(fx)), np.repeat(np.arange(m), np.diff(fy))])
+            h = np.concatenate([x, y])
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=m)
+            union = np.diff(fx) + np.diff(fy) - common
+            yield part.select(["a", "b"]).take(pa.array(np.flatnonzero((DEN * common >= NUM * union) & (union > 0))))
+
+    left, right = sets.toDF("a", "sa", "ta"), sets.toDF("b", "sb", "tb")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").where(_fit()).select("a", "b", "ta", "tb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def with_smallest(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and the smallest of its bucket that meet in several buckets.
+
+    What this leaves out isn't lost: its buckets stay in several components.
+    """
+    _, _, distance, _, spare = bands()
+    least = [1 if d <= DELETIONS_TO else s // 2 + 1 for s, d in zip(spare, distance, strict=True)]
+    centre = rows.groupBy("k").agg(F.min("node").alias("b"))
+    met = rows.join(centre, "k").where("node <> b").groupBy(F.col("node").alias("a"), "b", "band").agg(F.count("*").alias("n"))
+    return met.where(F.col("n") >= _of_band(least)).select("a", "b").distinct()
+
+
+def with_family(rows: DataFrame) -> DataFrame:
     """Pairs of a bucket's members outside its largest component with a member of it at random, where that one is a family.
 
     An outsider meets another member in every bucket, so one that has links
     into the family finds some here.
     """
-    shape = _shape(members).where(F.col("most") >= FAMILY).select("k", F.col("main.label").alias("main"), F.col("main.one").alias("b"))
-    pairs = members.join(shape, "k").where("label <> main").select(F.col("node").alias("a"), "b").distinct()
-    return pairs.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit()).select("a", "b")
+    per_label = rows.groupBy("k", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "k")).alias("one"))
+    main = per_label.groupBy("k").agg(F.max_by(F.struct("label", "one", "n"), F.struct("n", "label")).alias("main")).where(F.col("main.n") >= FAMILY)
+    return rows.join(main, "k").where("label <> main.label").select(F.col("node").alias("a"), F.col("main.one").alias("b")).distinct()
 
 
-def split_by_cost(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members, with their bucket's largest component as ``main``, of the buckets with few others, and of the rest."""
-    shape = _shape(members).select("k", F.col("main.label").alias("main"), (F.col("n") - F.col("most")).alias("others"))
-    rows = written(members.join(shape, "k"))
-    return rows.where(F.col("others") <= MINORITY), rows.where(F.col("others") > MINORITY)
+def with_tokens_elsewhere(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` of the sets of which 0.8 or more of the shingles occur under other labels too, among ``rows``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, PAIRS):
+            h, first = _numbers(part.column(2))
+            n = np.diff(first)
+            yield _batch({"node": np.repeat(part.column(0).to_numpy(), n), "label": np.repeat(part.column(1).to_numpy(), n), "n": np.repeat(n, n), "token": h.view(np.int64)})
+
+    nodes = rows.select("node", "label").distinct()
+    tokens = nodes.join(sets, "node").select("node", "label", "tokens").mapInArrow(run, "node long, label long, n long, token long")
+    tokens = written(tokens)
+    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    good = tokens.join(shared, "token").groupBy("node").agg(F.count("*").alias("found"), F.min("n").alias("n")).where(DEN * F.col("found") >= NUM * F.col("n"))
+    return rows.join(good.select("node"), "node", "left_semi")
 
-def lost_weight(dear: DataFrame, losses: DataFrame) -> DataFrame:
-    """(node, band, lost): what dear, empty and single segments take from each set's spare."""
-    spent = dear.withColumn("band", _band()).join(_plan(dear.sparkSession), "band").groupBy("node", "band").agg(F.sum("weight").alias("lost"))
-    gone = losses.select(F.col("a").alias("node"), (-1 - F.col("k")).cast("int").alias("band"), F.col("b").alias("lost")).distinct()
-    return spent.unionByName(gone).groupBy("node", "band").agg(F.sum("lost").alias("lost"))
 
+def into(rows: DataFrame) -> DataFrame:
+    """Pairs (node, other) of a set and a larger component whose members it meets in as many buckets as linked sets must."""
+    _, _, distance, _, spare = bands()
+    least = [1 if d <= DELETIONS_TO else s + 1 for s, d in zip(spare, distance, strict=True)]
+    size = rows.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
+    sized = rows.join(size, "label")
+    others = sized.select("k", F.col("label").alias("other"), F.col("size").alias("most")).distinct()
+    meets = sized.join(others, "k").where(F.struct("size", "label") < F.struct("most", "other"))
+    often = meets.groupBy("node", "other", "band").agg(F.count("*").alias("n"), F.max("lost").alias("lost"))
+    return often.where(F.col("n") + F.col("lost") >= _of_band(least)).select("node", "other").distinct()
 
-def across(cheap: DataFrame, sizes: DataFrame, lost: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in as many cheap buckets as linked ones must.
 
-    A set that meets the sets of a component in too few buckets, whichever it
-    meets, has no link into it; such sets leave before pairs are made.  Of a
-    pair, one is outside its bucket's largest component.
+def in_blocks(wanted: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets ``wanted`` (node, other) with members of those components among ``rows``.
+
+    The members of a component, and the sets that are compared with it, are
+    packed in blocks of about SET_BLOCK shingles; blocks are compared whole
+    inside tasks, and only links become rows.
     """
-    plan = _plan(cheap.sparkSession)
-    labels = cheap.select("k", F.col("label").alias("other")).distinct()
-    meets = cheap.join(labels, "k").where("label <> other").withColumn("band", _band())
-    often = meets.groupBy("node", "other", "band").agg(F.count("*").alias("n")).join(lost, ["node", "band"], "left").join(plan, "band")
-    often = often.where((F.col("weight") == 2) | (F.col("n") >= F.col("spare") + 1 - F.coalesce("lost", F.lit(0)))).select("node", "other", "band")
-    left = written(meets.join(often, ["node", "other", "band"]).select("k", "node", "label", "other", "main"))
-    one = left.where("label <> main").select("k", F.col("node").alias("a"), F.col("label").alias("la"), F.col("other").alias("lb"))
-    two = left.select("k", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("other").alias("la"))
-    pairs = one.join(two, ["k", "la", "lb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k").distinct()
-    met = pairs.withColumn("band", _band()).groupBy("a", "b", "band").agg(F.count("*").alias("n"))
-    met = met.join(lost.toDF("a", "band", "xa"), ["a", "band"], "left").join(lost.toDF("b", "band", "xb"), ["b", "band"], "left").join(plan, "band")
-    least = F.col("spare") + 1 - F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0)))
-    met = met.where((F.col("weight") == 2) | (F.col("n") >= least)).select("a", "b").distinct()
-    return met.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(_fit()).select("a", "b")
-
-
-def short_of_spare(lost: DataFrame) -> DataFrame:
-    """Nodes that lose more in some band than it has to spare."""
-    return lost.join(_plan(lost.sparkSession), "band").where(F.col("lost") > F.col("spare")).select("node").distinct()
-
-
-def by_rare_shingles(nodes: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components among ``nodes`` that share one of their rarest fifth of shingles, rarest first among ``nodes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            texts, node = _texts(batch, 1), batch.column(0).to_numpy()
-            for low, high in blocks(texts, BLOCK // 2):
-                h, first = shingles(texts[low:high])
-                n = np.diff(first)
-                yield _batch({"node": np.repeat(node[low:high], n), "size": np.repeat(n, n), "token": h.view(np.int64)})
-
-    tokens = cut(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, size long, token long"))
-    named = tokens.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = named.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    head = named.join(counts, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * NUM / DEN) + 1).where("low <> high")
-    head = cut(head.select("token", "node", "label", "size"))
-    per_label = head.groupBy("token", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    few = head.join(main, "token").where("label <> main").select("token", F.col("node").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"))
-    every = head.select("token", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
-    return few.join(every, "token").where((F.col("la") != F.col("lb")) & _fit()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for part in sliced(batches, 1):
+            (left, right), found = ([(np.array([r["node"] for r in side]), *_numbers(pa.array([r["tokens"] for r in side], pa.binary()))) for side in part.column(c).to_pylist()][0] for c in (0, 1)), []
+            owner = np.repeat(np.arange(len(right[0])), np.diff(right[2]))
+            order = np.argsort(right[1], kind="stable")
+            tokens, owner, ny = right[1][order], owner[order], np.diff(right[2])
+            for i, node in enumerate(left[0]):
+                x = left[1][left[2][i] : left[2][i + 1]]
+                low, high = np.searchsorted(tokens, x), np.searchsorted(tokens, x, side="right")
+                common = np.bincount(owner[_ranges(high - low, low)], minlength=len(ny))
+                good = right[0][DEN * common >= NUM * (len(x) + ny - common)]
+                found += [(node, b) for b in good if b != node]
+            wide = np.array(found, np.int64).reshape(-1, 2)
+            yield _batch({"a": wide[:, 0], "b": wide[:, 1]})
+
+    def packs(pairs: DataFrame, name: str) -> DataFrame:
+        """(label, name): the sets of ``pairs`` (node, label), in blocks."""
+        sized = pairs.join(sets, "node")
+        total = sized.groupBy("label").agg(F.ceil(F.sum("n") / SET_BLOCK).alias("blocks"))
+        dealt = sized.join(total, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return dealt.groupBy("label", "block").agg(F.collect_list(F.struct("node", "tokens")).alias(name)).select("label", name)
+
+    left = packs(wanted.select("node", F.col("other").alias("label")), "x")
+    right = packs(rows.select("node", "label").distinct(), "y")
+    return left.join(right, "label").select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """``links`` (a, b) that hold on the words themselves."""
+
+    def runs_of(text: bytes) -> set[tuple[bytes, ...]]:
+        w = text.lower().split()
+        return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, bytes, set] = (None, b"", set())
+        for part in sliced(batches, 64):
+            b, good = part.column(1).to_pylist(), []
+            for i, (tx, ty) in enumerate(zip(_texts(part, 2), _texts(part, 3), strict=True)):
+                if (b[i], ty) != last[:2]:
+                    last = (b[i], ty, runs_of(ty))
+                x, y = runs_of(tx), last[2]
+                common = len(x & y)
+                if DEN * common >= NUM * (len(x) + len(y) - common):
+                    good.append(i)
+            yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    ends = small(cut(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ends, "doc_id", "left_semi").distinct())
+    joined = links.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def links_of(docs: DataFrame, met: DataFrame, given: DataFrame) -> DataFrame:
+    """(node, label) of the sets that have links: the smallest node reachable.
+
+    ``docs`` holds the sets' texts, ``met`` their index; ``given`` (a, b) are
+    links besides.
+    """
+    stars, losses = met.where("k >= 0"), met.where(f"k < 0 and k <> {SIZES}").distinct()
+    rows = written(narrowed(members_of(stars), losses))
+    sets = written(packed_sets(docs, rows.select("node")))
+    found = cut(confirmed(cut(verify(with_smallest(rows), sets)), docs).unionByName(given))
+    labels = components(found)
+    for _ in range(ROUNDS):
+        rows = written(narrowed(relabelled(rows, labels), losses))
+        more = cut(verify(with_family(rows), sets))
+        if more.isEmpty():
+            break
+        found = cut(found.unionByName(confirmed(forest(more, labels), docs)))
+        labels = components(found)
+    rows = narrowed(relabelled(rows, labels), losses)
+    for _ in range(ROUNDS):
+        rows = written(narrowed(with_tokens_elsewhere(written(rows), sets), losses))
+    more = cut(in_blocks(cut(into(rows)), rows, sets))
+    return labels if more.isEmpty() else components(found.unionByName(confirmed(forest(more, labels), docs)))
+
+
+def forest(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One of the ``links`` for each pair of components that they join."""
+    name = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
+    ends = links.join(name("a", "la"), "a", "left").join(name("b", "lb"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    one = ends.where("la <> lb").groupBy(F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")).agg(F.min(F.struct("a", "b")).alias("link"))
+    return cut(one.select("link.a", "link.b"))
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id reachable by links, ``n_links`` the
-    verified links of the document's class that were needed to find this out.
-    Null and blank texts have no shingles and stand alone; a text of fewer
-    than five words is one shingle; rows of one doc_id are one document; rows
-    without an id link with nothing.
+    ``component_id`` is the smallest doc_id reachable by links.  Null and
+    blank texts have no shingles and stand alone; a text of fewer than five
+    words is one shingle; rows of one doc_id are one document, whose texts'
+    groups are one; rows without an id have no component and link with
+    nothing.  An empty table gives none.  Other columns are not looked at.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(measure(docs))
-    known = sets.where("name <> 0 and doc_id is not null")
-    classes = cut(known.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("n").alias("size")))
-    aside = cut(sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct())
-    docs = docs.where("doc_id is not null").join(small(aside), "doc_id", "left_anti")
-    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.max("size").alias("size"))
-    met = written(index(docs))
-    stars, losses = met.where("k >= 0"), met.where("k < 0")
-    pairs = cut(likely(stars, sizes))
-    found = cut(verify(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)))
-    labels = components(found)
-    second = cut(outsiders(unresolved(stars, labels), sizes))
-    found = cut(found.unionByName(verify(second, texts_of(second.select(F.explode(F.array("a", "b")).alias("node")), docs))).distinct())
-    labels = components(found)
-    cheap, dear = split_by_cost(unresolved(stars, labels))
-    lost = cut(lost_weight(dear, losses))
-    rest = cut(across(cheap, sizes, lost))
-    more = verify(rest, texts_of(rest.select(F.explode(F.array("a", "b")).alias("node")), docs))
-    left = cut(short_of_spare(lost))
-    if not left.isEmpty():
-        own = written(texts_of(left, docs))
-        more = more.unionByName(verify(cut(by_rare_shingles(left, own, labels)), own))
-    links = cut(found.unionByName(more).distinct())
-    labels = components(links)
+    named = written(names(docs))
+    classes = named.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
+    owned = written(named.join(cut(classes), "name", "left").select("doc_id", "rep"))
+    each = cut(owned.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("rep <=> doc_id")).alias("first"), F.min("rep").alias("low"), F.max("rep").alias("high")))
+    firsts = docs.where("doc_id is not null").join(small(each.where("not first").select("doc_id")), "doc_id", "left_anti")
+    bridges = owned.join(each.where("low <> high").select("doc_id", "low"), "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    met = written(index(firsts))
+    labels = links_of(firsts, met, bridges)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    of_class = labels.join(least, "label").select("node", "component_id")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.select("name", F.col("rep").alias("node")).join(of_class, "node", "left").join(degree, "node", "left")
-    named = named.select("name", F.coalesce("component_id", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = sets.join(named, "name", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_node = labels.join(least, "label").select(F.col("node").alias("rep"), "component_id")
+    size = met.where(F.col("k") == SIZES).groupBy(F.col("a").alias("rep")).agg(F.max("b").alias("n_shingles"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id")
+    return owned.join(size.join(of_node, "rep", "left"), "rep", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component: the one of the smallest id; of rows with one id, the first by text.
 
     Documents without an id or without shingles stay.  Other columns are
-    untouched; only the ids of what goes are joined with the texts.
+    untouched, whatever their names; only the ids of what goes are joined with
+    the texts.
     """
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"))
+    rows, first = unused(docs, "rows"), unused(docs, "first")
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows)).where(F.col(rows) > 1).select("doc_id"))
     if not again.isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in sorted(docs.columns, key=lambda c: c != "text")]))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in sorted(docs.columns, key=lambda c: c != "text")]))
         once = docs.join(small(again), "doc_id", "left_anti")
-        docs = once.unionByName(docs.join(small(again), "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").drop("_first"))
+        docs = once.unionByName(docs.join(small(again), "doc_id", "left_semi").withColumn(first, place).where(F.col(first) == 1).drop(first))
     goes = cut(link(docs).where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(small(goes), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, n_shingles, component_id, the smallest doc_id that links reach from it."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))

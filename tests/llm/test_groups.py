@@ -69,15 +69,26 @@ def test_jaccard_equals_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
-def test_jaccard_without_spare(spark, monkeypatch):
-    """All buckets dear: every link is found by the rarest shingles."""
-    monkeypatch.setattr(near_duplicates, "MINORITY", -1)
+def test_jaccard_by_the_last_step_alone(spark, monkeypatch):
+    """No partner is tried first: the complete step finds every link."""
+    monkeypatch.setattr(near_duplicates, "ROUNDS", 1)
+    none = lambda rows: rows.select(rows.node.alias("a"), rows.node.alias("b")).limit(0)
+    monkeypatch.setattr(near_duplicates, "with_smallest", none)
+    monkeypatch.setattr(near_duplicates, "with_family", none)
     rng = random.Random(5)
-    rows = [(i, t) for i, t in enumerate(family(rng, [f"w{i}" for i in range(80)], 8, 3) + family(rng, [f"v{i}" for i in range(15)], 8, 1))]
+    texts = [t for k in range(12) for t in family(rng, [f"w{k}.{i}" for i in range(8 + 9 * k)], 9, 1 + k)]
+    rows = list(enumerate(texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
 
 
+def test_jaccard_of_several_texts_under_one_id(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, c), (5, c), (5, c)]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 def test_jaccard_of_nothing(spark):
     assert near_duplicates.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "no id here at all"), (4, None)]
