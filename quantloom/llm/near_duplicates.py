@@ -53,6 +53,8 @@ SHARE = 0.25
 FAMILY = 8
 #: Pairs of sets, and bytes of texts, that are unpacked at a time; shingles of a block of sets.
 PAIRS, TEXT_BLOCK, SET_BLOCK = 512, 1 << 19, 1 << 14
+#: Labels from which a bucket is hot: its sets are not paired there but compared with their whole cluster.
+HOT = 32
 #: Rounds of comparing each set with a partner a bucket, before the complete step.
 ROUNDS = 2
 
@@ -345,51 +347,80 @@ def with_tokens_elsewhere(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(good.select("node"), "node", "left_semi")
 
 
-def into(rows: DataFrame) -> DataFrame:
-    """Pairs (node, other) of a set and a larger component whose members it meets in as many buckets as linked sets must."""
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of buckets of few labels, (node, cluster) of the sets that hot buckets bring together)."""
+    labels = rows.select("k", "label").distinct().groupBy("k").agg(F.count("*").alias("labels"))
+    hot = cut(labels.where(F.col("labels") > HOT).select("k"))
+    together = rows.select("k", "node").join(hot, "k")
+    centre = together.groupBy("k").agg(F.min("node").alias("b"))
+    clusters = components(together.join(centre, "k").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    return rows.join(hot, "k", "left_anti"), clusters.withColumnRenamed("label", "cluster")
+
+
+def into(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (node, other) of a set and a larger component whose members it meets in as many buckets as linked sets must.
+
+    A bucket has at most HOT labels, so a row meets no more.  ``nodes`` are
+    all (node, label).
+    """
     _, _, distance, _, spare = bands()
     least = [1 if d <= DELETIONS_TO else s + 1 for s, d in zip(spare, distance, strict=True)]
-    size = rows.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    sized = rows.join(size, "label")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
+    sized = rows.join(nodes.join(sizes, "label").select("node", "size"), "node")
     others = sized.select("k", F.col("label").alias("other"), F.col("size").alias("most")).distinct()
     meets = sized.join(others, "k").where(F.struct("size", "label") < F.struct("most", "other"))
     often = meets.groupBy("node", "other", "band").agg(F.count("*").alias("n"), F.max("lost").alias("lost"))
     return often.where(F.col("n") + F.col("lost") >= _of_band(least)).select("node", "other").distinct()
 
 
-def in_blocks(wanted: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of the sets ``wanted`` (node, other) with members of those components among ``rows``.
+def in_blocks(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets of ``left`` with those of ``right`` of the same group and another label; both are (kind, name, node, label).
 
-    The members of a component, and the sets that are compared with it, are
-    packed in blocks of about SET_BLOCK shingles; blocks are compared whole
-    inside tasks, and only links become rows.
+    Either side of a group is packed in blocks of about SET_BLOCK shingles;
+    blocks are compared whole inside tasks, and only links become rows.
     """
 
+    def side(row: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r["node"] for r in row]), np.array([r["label"] for r in row]), *_numbers(pa.array([r["tokens"] for r in row], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1):
-            (left, right), found = ([(np.array([r["node"] for r in side]), *_numbers(pa.array([r["tokens"] for r in side], pa.binary()))) for side in part.column(c).to_pylist()][0] for c in (0, 1)), []
-            owner = np.repeat(np.arange(len(right[0])), np.diff(right[2]))
-            order = np.argsort(right[1], kind="stable")
-            tokens, owner, ny = right[1][order], owner[order], np.diff(right[2])
-            for i, node in enumerate(left[0]):
-                x = left[1][left[2][i] : left[2][i + 1]]
+            (xs, lx, tx, fx), (ys, ly, ty, fy) = (side(part.column(c)[0].as_py()) for c in (0, 1))
+            order, found, ny = np.argsort(ty, kind="stable"), [], np.diff(fy)
+            tokens, owner = ty[order], np.repeat(np.arange(len(ys)), ny)[order]
+            for i, node in enumerate(xs):
+                x = tx[fx[i] : fx[i + 1]]
                 low, high = np.searchsorted(tokens, x), np.searchsorted(tokens, x, side="right")
-                common = np.bincount(owner[_ranges(high - low, low)], minlength=len(ny))
-                good = right[0][DEN * common >= NUM * (len(x) + ny - common)]
-                found += [(node, b) for b in good if b != node]
+                common = np.bincount(owner[_ranges(high - low, low)], minlength=len(ys))
+                found += [(node, b) for b in ys[(DEN * common >= NUM * (len(x) + ny - common)) & (ly != lx[i])]]
             wide = np.array(found, np.int64).reshape(-1, 2)
             yield _batch({"a": wide[:, 0], "b": wide[:, 1]})
 
-    def packs(pairs: DataFrame, name: str) -> DataFrame:
-        """(label, name): the sets of ``pairs`` (node, label), in blocks."""
-        sized = pairs.join(sets, "node")
-        total = sized.groupBy("label").agg(F.ceil(F.sum("n") / SET_BLOCK).alias("blocks"))
-        dealt = sized.join(total, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        return dealt.groupBy("label", "block").agg(F.collect_list(F.struct("node", "tokens")).alias(name)).select("label", name)
+    def packs(group: DataFrame, to: str) -> DataFrame:
+        sized = group.join(sets, "node")
+        total = sized.groupBy("kind", "name").agg(F.ceil(F.sum("n") / SET_BLOCK).alias("blocks"))
+        dealt = sized.join(total, ["kind", "name"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return dealt.groupBy("kind", "name", "block").agg(F.collect_list(F.struct("node", "label", "tokens")).alias(to)).drop("block")
 
-    left = packs(wanted.select("node", F.col("other").alias("label")), "x")
-    right = packs(rows.select("node", "label").distinct(), "y")
-    return left.join(right, "label").select("x", "y").mapInArrow(run, "a long, b long")
+    return packs(left, "x").join(packs(right, "y"), ["kind", "name"]).select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def remaining(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across the labels of ``rows``: the complete step.
+
+    Sets that meet in a hot bucket are of one cluster, where each set outside
+    the largest component is compared with all.  Others meet in buckets of few
+    labels only, in as many as linked sets must, and are compared with the
+    whole of the component.
+    """
+    nodes = cut(rows.select("node", "label").distinct())
+    few, clusters = apart(rows)
+    inside = cut(nodes.join(clusters, "node").select(F.lit(1).alias("kind"), F.col("cluster").alias("name"), "node", "label"))
+    main = inside.groupBy("name", "label").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    outside = inside.join(main, "name").where("label <> main").drop("main")
+    wanted = cut(into(few, nodes)).join(nodes, "node").select(F.lit(0).alias("kind"), F.col("other").alias("name"), "node", "label")
+    whole = nodes.select(F.lit(0).alias("kind"), F.col("label").alias("name"), "node", "label")
+    return in_blocks(wanted.unionByName(outside), whole.unionByName(inside), sets)
 
 
 def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -439,7 +470,7 @@ def links_of(docs: DataFrame, met: DataFrame, given: DataFrame) -> DataFrame:
     rows = narrowed(relabelled(rows, labels), losses)
     for _ in range(ROUNDS):
         rows = written(narrowed(with_tokens_elsewhere(written(rows), sets), losses))
-    more = cut(in_blocks(cut(into(rows)), rows, sets))
+    more = cut(remaining(rows, sets))
     return labels if more.isEmpty() else components(found.unionByName(confirmed(forest(more, labels), docs)))
 
 
