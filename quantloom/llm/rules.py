@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words
+from .common import SPACE_CHARS, let, unused, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -14,16 +14,24 @@ BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "use cookies", "enable javascript", "click here", "read more", "share this", "sign in", "log in",
     "subscribe to", "skip to content", "back to top", "powered by",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "weiterlesen", "zum inhalt springen",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "lire la suite", "se connecter", "aller au contenu",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "leer más", "iniciar sesión", "ir al contenido",
 )
-PUNCTUATION = r"[.!?…。！？][\"')\]”’»]*\s*$"
+# What ends a sentence, what may close after it, and what may follow unseen.
+ENDS, CLOSERS, UNSEEN = ".!?…。！？", "\"')]”’»", SPACE_CHARS + "\u0085\u2028\u2029"
 #: A document is rejected if it keeps less than this share of its characters.
 MIN_KEPT = 0.5
 
 
-def duplicate_lines(text: Column) -> Column:
+def filled(line: Column) -> Column:
+    """Whether a line has a word."""
+    return F.trim(line, F.lit(SPACE_CHARS)) != ""
+
+
+def duplicate_lines(lines: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    filled = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    return let(filled, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return let(F.filter(lines, filled), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
 def repeated_words(tokens: Column, k: int = WINDOW) -> Column:
@@ -52,16 +60,39 @@ def repeated_words(tokens: Column, k: int = WINDOW) -> Column:
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), windows).cast("long")
 
 
-def line_ok(line: Column) -> Column:
-    """The rules of one line: ends like a sentence, is no menu, no page furniture, no shouting, no symbol soup."""
-    low = F.lower(line)
-    furniture = low.rlike("|".join(BOILERPLATE))
-    size = F.length(F.translate(line, SPACE_CHARS, ""))
-    menu = (F.length(line) - F.length(F.translate(line, "|", ""))) >= 2
-    soup = (F.length(line) - F.length(F.translate(line, SYMBOLS, ""))) * 20 > size
-    capitals = F.length(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    shouting = (F.length(line) - capitals) * 2 > size
-    return line.rlike(PUNCTUATION) & ~furniture & ~menu & ~soup & ~((size > 20) & shouting)
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of a text are among a few ASCII ones."""
+    return F.regexp_count(text, F.lit("[" + "".join("\\" + c for c in chars) + "]"))
+
+
+def _solid(text: Column) -> Column:
+    """Characters that belong to words."""
+    return F.length(F.translate(text, SPACE_CHARS, ""))
+
+
+def line_ok(line: Column, symbols: Column) -> Column:
+    """The rules of one line: ends like a sentence, is no menu, no page furniture, no shouting, no symbol soup.
+
+    ``symbols`` says whether the whole text has any; where it has none, no
+    line needs to be searched.
+    """
+    end = F.substring(F.rtrim(F.rtrim(line, F.lit(UNSEEN)), F.lit(CLOSERS)), -1, 1)
+    sentence = (end != "") & (F.instr(F.lit(ENDS), end) > 0)
+    menu = _count(line, "|") >= 2
+    soup = _count(line, SYMBOLS) * 20 > _solid(line)
+    # More than half of the characters can only be capitals if two of them are neighbours.
+    near = line.rlike(r"[A-Z]\s*[A-Z]")
+    shouting = (_solid(line) > 20) & (F.regexp_count(line, F.lit("[A-Z]")) * 2 > _solid(line))
+    clean = F.when(symbols, ~(menu | soup)).otherwise(F.lit(True))
+    plain = ~let(F.lower(line), lambda x: _any(x, BOILERPLATE))
+    return sentence & clean & plain & F.when(near, ~shouting).otherwise(F.lit(True))
+
+
+def _any(text: Column, phrases: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in phrases:
+        found = found | text.contains(p)
+    return found
 
 
 def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
@@ -69,28 +100,26 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
 
     A null text counts as empty; texts without words fail the base rule and
     are not kept.  Blank lines pass.  Rows are judged one by one, so repeated
-    rows get equal verdicts.  Columns of the added names are replaced.
+    rows get equal verdicts, and an empty table stays empty.  Columns of the
+    added names are replaced; others stay, whatever they are called.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    clean = F.filter(lines, lambda x: (F.length(F.translate(x, SPACE_CHARS, "")) == 0) | line_ok(x))
-    counted = docs.withColumns(
-        {
-            "_n": let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("words"), repeated_words(w).alias("repeated"))),
-            "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": duplicate_lines(text),
-            "clean_text": F.array_join(clean, "\n"),
-        }
-    )
-    failed = (F.col("_n.words") < 20) | (100 * F.col("_n.repeated") > 30 * F.col("_n.words"))
+    found, lines, clean = (unused(docs, x) for x in ("found", "lines", "clean"))
+    left = F.when(F.size(clean) == F.size(lines), F.col("word_chars")).otherwise(_solid(F.array_join(clean, "\n")))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    of_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("repeated"), F.length(F.array_join(w, "")).cast("long").alias("chars"))
     return (
-        counted.withColumns({"n_words": F.col("_n.words"), "n_repeat_words": F.col("_n.repeated"), "base_failed": failed, "_left": F.length(F.translate("clean_text", SPACE_CHARS, ""))})
-        .withColumn("kept", ~F.col("base_failed") & (F.col("_left") >= min_kept * F.col("word_chars")))
-        .drop("_n", "_left")
+        docs.withColumns({found: let(words(F.col("text")), of_words), lines: F.split(text, "\n"), "n_symbols": _count(text, SYMBOLS).cast("long")})
+        .withColumns({"n_words": F.col(f"`{found}`.n_words"), "n_repeat_words": F.col(f"`{found}`.repeated"), "word_chars": F.col(f"`{found}`.chars"), "n_dup_lines": duplicate_lines(F.col(lines))})
+        .withColumn(clean, F.filter(lines, lambda x: ~filled(x) | line_ok(x, F.col("n_symbols") > 0)))
+        .withColumn("base_failed", failed)
+        .withColumn("kept", ~F.col("base_failed") & (left >= min_kept * F.col("word_chars")))
+        .withColumn("clean_text", F.array_join(clean, "\n"))
+        .drop(found, lines, clean)
     )
 
 
 def op9_rules(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, the counts, base_failed and kept; see ``clean_lines``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
