@@ -17,6 +17,13 @@ def safe_div(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of the pairs without nulls; null where one side doesn't vary or there is no pair."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return safe_div(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     """x within bounds; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))

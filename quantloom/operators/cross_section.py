@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
+
 
 def average_rank(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
     """Average rank of ties from 1, null for null: the smallest rank plus half of the other ties."""
@@ -50,5 +52,5 @@ def rank_ic(df: DataFrame, x: str, y: str, by: list[str], least: int) -> DataFra
     """Spearman correlation of x and y per group with at least ``least`` pairs; no row where one side doesn't vary."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(pairs, x, by, "_rx"), y, by, "_ry")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("ic"), (F.min("_rx") < F.max("_rx")).alias("_vx"), (F.min("_ry") < F.max("_ry")).alias("_vy"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("ic"), (F.min("_rx") < F.max("_rx")).alias("_vx"), (F.min("_ry") < F.max("_ry")).alias("_vy"))
     return out.where((F.col("n") >= least) & F.col("_vx") & F.col("_vy")).drop("_vx", "_vy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantise, safe_div
+from ..functions.columns import correlation, quantise, safe_div
 from ..operators import cross_section as X
 from ..operators import timeseries as S
 from .base import query, scaled, sql_q, sql_scaled
@@ -32,7 +32,7 @@ def a12(T):
 @query("a11_regression", f"select fold, count(*) as n, {sql_q('sqrt(avg((pred_a - target) * (pred_a - target)))')} as rmse, {sql_q('avg(abs(pred_a - target))', 3)} as mae, {sql_q('corr(pred_a, target)', 3)} as pearson from preds group by 1")
 def a11(T):
     e = F.col("pred_a") - F.col("target")
-    return T("preds").groupBy("fold").agg(F.count("*").alias("n"), quantise(F.sqrt(F.avg(e * e))).alias("rmse"), quantise(F.avg(F.abs(e)), 3).alias("mae"), quantise(F.corr("pred_a", "target"), 3).alias("pearson"))
+    return T("preds").groupBy("fold").agg(F.count("*").alias("n"), quantise(F.sqrt(F.avg(e * e))).alias("rmse"), quantise(F.avg(F.abs(e)), 3).alias("mae"), quantise(correlation("pred_a", "target"), 3).alias("pearson"))
 
 
 @query("a13_hits", "select count(*) as n, count(distinct ts_code) as n_codes, count(distinct fold) as n_folds, avg(case when sign(pred_a) = sign(target) then 1 else 0 end) as hit_rate from preds")
@@ -58,7 +58,7 @@ def a15(T):
 
 @query("a18_correlations", f"select {sql_q('corr(pred_a, pred_b)', 3)} as ab, {sql_q('corr(pred_a, pred_c)', 3)} as ac, {sql_q('corr(pred_b, pred_c)', 3)} as bc from preds")
 def a18(T):
-    c = lambda x, y: quantise(F.corr(x, y), 3)
+    c = lambda x, y: quantise(correlation(x, y), 3)
     return T("preds").agg(c("pred_a", "pred_b").alias("ab"), c("pred_a", "pred_c").alias("ac"), c("pred_b", "pred_c").alias("bc"))
 
 

@@ -218,12 +218,15 @@ def w38(T):
     return T("bars").select(*KEYS, quantise(F.lag("close", 21).over(w) / F.lag("close", 252).over(w) - 1).alias("momentum_12_1"))
 
 
-@query("w43_limit_flags", """select b.ts_code, b.trade_date, abs(close - up_limit) <= 5e-3 as at_up, abs(close - down_limit) <= 5e-3 as at_down, high = low and abs(close - up_limit) <= 5e-3 as one_line
-from bars b join limits l on l.ts_code = b.ts_code and l.trade_date = b.trade_date""")
+@query("w43_limit_flags", """select ts_code, trade_date, abs(close - up) <= 5e-3 as at_up, abs(close - down) <= 5e-3 as at_down, high = low and abs(close - up) <= 5e-3 as one_line,
+abs(close - up) <= 5e-3 and abs(open - up) <= 5e-3 and low < up - 5e-3 as t_shape
+from (select *, floor(pre_close * (1 + b) * 1e2 + 5e-1) / 1e2 as up, floor(pre_close * (1 - b) * 1e2 + 5e-1) / 1e2 as down
+from (select *, case when substr(ts_code, 1, 3) in ('300', '688') then 2e-1 else 1e-1 end as b from bars) x) y""")
 def w43(T):
     d = T("bars").join(T("limits"), list(KEYS))
     up = F.abs(F.col("close") - F.col("up_limit")) <= 0.005
-    return d.select(*KEYS, up.alias("at_up"), (F.abs(F.col("close") - F.col("down_limit")) <= 0.005).alias("at_down"), ((F.col("high") == F.col("low")) & up).alias("one_line"))
+    return d.select(*KEYS, up.alias("at_up"), (F.abs(F.col("close") - F.col("down_limit")) <= 0.005).alias("at_down"), ((F.col("high") == F.col("low")) & up).alias("one_line"),
+                    (up & (F.abs(F.col("open") - F.col("up_limit")) <= 0.005) & (F.col("low") < F.col("up_limit") - 0.005)).alias("t_shape"))
 
 
 @query("w49_bar_shape", f"select ts_code, trade_date, {sql_q('(close - open) / open')} as body, {sql_q('(high - low) / open')} as range, {sql_q('(high - greatest(open, close)) / open')} as upper, {sql_q('open / pre_close - 1')} as gap from bars")

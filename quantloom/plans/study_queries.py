@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantise, safe_div
+from ..functions.columns import correlation, quantise, safe_div
 from ..operators import cross_section as X
 from ..operators import timeseries as S
 from .base import query, scaled, sql_q, sql_scaled
@@ -106,7 +106,7 @@ def a46(T):
 
 @query("a52_leakage_scan", f"select {sql_q('corr(pred_a, target)', 3)} as pred_a, {sql_q('corr(pred_b, target)', 3)} as pred_b, {sql_q('corr(pred_c, target)', 3)} as pred_c from preds")
 def a52(T):
-    return T("preds").agg(*[quantise(F.corr(c, "target"), 3).alias(c) for c in ("pred_a", "pred_b", "pred_c")])
+    return T("preds").agg(*[quantise(correlation(c, "target"), 3).alias(c) for c in ("pred_a", "pred_b", "pred_c")])
 
 
 @query("a53_checks", "select count(case when abs(pct_chg) > 25 then 1 end) as wild_bars, count(distinct case when abs(pct_chg) > 25 then ts_code end) as wild_codes, (select count(*) from fund where ann_date < end_date) as early_reports from bars")
