@@ -20,9 +20,9 @@ CONTROLS = (*TURN, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<
 ROLES = {"system": 0, "user": 1, "assistant": 2}
 OTHER, TEXT, END = 3, 4, 5
 ESCAPE = "\\"
-#: Longer texts are encoded in parts, so that no part takes long.
-PART = 16_384
 
+#: The encoder can't take longer runs of white space.
+_RUN = re.compile(r"(\s{50000})")
 _REST = "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True))
 _PLAIN = re.compile(rf"([<\[])(?=\\*(?:{_REST}))")
 _ESCAPED = re.compile(rf"([<\[])\\(?=\\*(?:{_REST}))")
@@ -49,9 +49,8 @@ class Codec:
         self.reserved = max(ranks.values()) + 1
 
     def segment(self, text: str) -> list[int]:
-        """Ids of a text, escaped; a long one part by part."""
-        safe = escape(text)
-        return [i for low in range(0, len(safe), PART) for i in self.encoding.encode_ordinary(safe[low : low + PART])]
+        """Ids of a text, escaped and whole; only longer runs of white space than the encoder takes are cut."""
+        return [i for part in _RUN.split(escape(text)) if part for i in self.encoding.encode_ordinary(part)]
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of a turn: role, text and end, with a mask over the text of an assistant's turn."""
@@ -170,6 +169,7 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
+    """Per conversation of ``conversations``, and of probe -1, what is read back from its formatted ids."""
     import public_tokenizers as P
 
     probe = "</s>[INST] ok [/INST]"

@@ -93,4 +93,5 @@ def read_media(stored: DataFrame, media: str = "media", pixels: bool = False) ->
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: its payload read back from a stored progressive JPEG, with digests and a feature."""
     return read_media(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -90,6 +90,7 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, size, source_size, target and the words that the mix takes of it."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

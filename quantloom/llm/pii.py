@@ -1,6 +1,8 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts add to them.
 
-Base matches are the seeds.  The words around a match form lexical patterns;
+Base matches are the seeds.  Secrets have no base expression: long hexadecimal
+words are their seeds, which become spans only where a trusted pattern holds
+them.  The words around a match form lexical patterns;
 patterns and instances (the matched strings) form a graph with one edge per
 distinct pair.  In rounds, a pattern's score for a kind is the mean trust of
 its instances: one for seeds, and for an unseen instance the best score among
@@ -14,9 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: What patterns may find besides; its seeds are hexadecimal words with letters and digits.
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
+SECRET_SEED = r"^[^0-9A-Za-z]*(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}[^0-9A-Za-z]*$"
 # The contract's expressions, in forms that scan in linear time.
 # A match begins where the last one ended or where its first character's run begins.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -97,11 +103,13 @@ def _context(text: Column, span: Column) -> Column:
     tidy = lambda x: F.regexp_replace(F.lower(x), "[0-9]", "9")
     word, two = F.regexp_extract(left, rf"([^{SPACE}]+)[{SPACE}]*$", 1), F.regexp_extract(left, rf"([^{SPACE}]+[{SPACE}]+[^{SPACE}]+)[{SPACE}]*$", 1)
     after = F.regexp_extract(right, rf"^[{SPACE}]*([^{SPACE}]+)", 1)
-    return F.array(F.concat(F.lit("B "), tidy(two)), F.concat(F.lit("A "), tidy(word), F.lit(" _ "), tidy(after)))
+    # A pattern without its words would hold whatever stands at the edge of a text.
+    both = F.when(two != "", F.concat(F.lit("B "), tidy(two))), F.when((word != "") & (after != ""), F.concat(F.lit("A "), tidy(word), F.lit(" _ "), tidy(after)))
+    return F.array_compact(F.array(*both))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, kind, value, pattern): base spans with their kind, candidates with kind null."""
+    """(doc_id, text_key, start, end, kind, value, pattern): base spans and seeds of secrets with their kind, candidates with kind null."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
 
@@ -113,9 +121,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     maybe = F.filter(matches(F.col("text"), CANDIDATE, -1, telling), fresh)
     rows = rows.withColumn("span", F.explode(F.concat(F.col("base"), maybe))).withColumn("pattern", F.explode(_context(F.col("text"), F.col("span"))))
+    kind = F.when(F.col("span.kind") >= 0, F.col("span.kind")).when(F.col("span.value").rlike(SECRET_SEED), F.lit(SECRET))
     return rows.select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.col("span.start").alias("start"), F.col("span.end").alias("end"),
-        F.when(F.col("span.kind") >= 0, F.col("span.kind")).alias("kind"), F.lower("span.value").alias("value"), "pattern",
+        kind.alias("kind"), F.lower("span.value").alias("value"), "pattern",
     )
 
 
@@ -151,25 +160,27 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     added span never overlaps a base one.  A null text has none; equal rows
     get equal spans; columns of these two names are replaced.
     """
-    found = occurrences(docs)
+    found = written(occurrences(docs))
     trusted = cut(score_patterns(found, **settings))
     out = docs.drop("base", "spans").withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     if trusted.isEmpty():
         return out.withColumn("spans", F.col("base"))
-    best = trusted.groupBy("pattern").agg(F.max_by("kind", "score").alias("new_kind"))
+    best = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("new_kind"))
+    # A seed of a secret is one where a pattern of secrets holds it.
     added = (
-        found.where("kind is null").join(best, "pattern")
-        .groupBy("doc_id", "text_key", "start", "end").agg(F.min("new_kind").alias("kind"), F.first("value").alias("value"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("start", "kind", "end", "value")).alias("_added"))
+        found.where(f"kind is null or kind = {SECRET}").join(best, "pattern").where("kind is null or kind = new_kind")
+        .groupBy("doc_id", "text_key", "start", "end").agg(F.min("new_kind").alias("kind"), F.min("value").alias("value"))
     )
-    joined = out.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_key")), "left")
-    every = F.array_sort(F.concat(F.col("base"), F.coalesce(F.col("_added"), F.array()).cast(SPAN)))
-    return joined.withColumn("spans", every).drop("_h", "_id", "_key", "_added")
+    own, key, hashed, more = (unused(out, x) for x in ("own_id", "text_key", "text_hash", "more"))
+    added = added.groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.collect_set(F.struct("start", "kind", "end", "value")).alias(more))
+    joined = out.withColumn(hashed, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(added, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(key)), "left")
+    every = F.array_sort(F.concat(F.col("base"), F.coalesce(F.col(more), F.array()).cast(SPAN)))
+    return joined.withColumn("spans", every).drop(hashed, own, key, more)
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    name = F.array(*[F.lit(f"[{k.upper()}]") for k in NAMES])
     text = F.coalesce("text", F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
@@ -183,11 +194,12 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
 
 
 def _digest(spans: Column) -> Column:
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, counts of the base kinds, base_sha256 and all spans, joined."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]

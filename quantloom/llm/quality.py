@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .vector import BLOCK, blocks, sliced, words_of
 
 PASSAGE = 64
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 rows = [x[bounds[d] : bounds[d + 1]].tobytes() for d in range(high - low)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(low, high - low)], ["x", "target"])
 
+    lean(docs.sparkSession)
     rows = fit_rows(docs, labels, label, limit).select(F.col("text").cast("binary"), F.col("target").cast("double"))
     found = rows.mapInArrow(run, "x binary, target double").toArrow().sort_by([("target", "ascending"), ("x", "ascending")])
     if not found.num_rows:
@@ -169,6 +171,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Every passage counts.  Null and empty texts are one empty passage; without
     a model all scores are 0.5.  Columns of these names are replaced.
     """
+    lean(docs.sparkSession)
     rows = docs.drop("score", "top_passage")
     at = rows.columns.index("text")
 
@@ -193,6 +196,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, held_out, score, predicted and the passage of most weight."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 5) != 0)
     scored = score(docs, train(docs, labels)).drop("text")

@@ -384,4 +384,5 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
 
 def op4_substrings(spark, sf_dir: str) -> DataFrame:
+    """The repeated passages of ``documents``; see ``passages``."""
     return passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

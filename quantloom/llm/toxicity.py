@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .quality import _texts, fold
 from .vector import BLOCK, blocks, mix, sliced, words_of
 
@@ -268,6 +268,8 @@ def score(docs: DataFrame, linear: Linear) -> DataFrame:
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Per document of ``documents``: doc_id, held_out, score and predicted."""
+    lean(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
     scored = score(docs, train(docs, labels)[2]).drop("text")
