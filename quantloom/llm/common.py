@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +33,14 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark) -> str:
-    """The checkpoint folder that the session names; there must be one, as executors share no other."""
+    """The checkpoint folder that the session names; where none is set, one of our own, on a single machine only."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -69,6 +73,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark) -> None:
+    """Drop the files of exchanges and checkpoints that nothing refers to any more; Spark deletes them once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table, marked for broadcast if it has at most ``limit`` rows.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, shuffle_parts, small, unused, written
+from .common import cut, lean, shuffle_parts, small, tidy, unused, written
 from .components import components
 from .vector import BLOCK, blocks, mix, runs, sliced, words_of
 
@@ -458,6 +458,7 @@ def links_of(docs: DataFrame, met: DataFrame, given: DataFrame) -> DataFrame:
     stars, losses = met.where("k >= 0"), met.where(f"k < 0 and k <> {SIZES}").distinct()
     rows = written(narrowed(members_of(stars), losses))
     sets = written(packed_sets(docs, rows.select("node")))
+    tidy(docs.sparkSession)
     found = cut(confirmed(cut(verify(with_smallest(rows), sets)), docs).unionByName(given))
     labels = components(found)
     for _ in range(ROUNDS):
@@ -470,6 +471,7 @@ def links_of(docs: DataFrame, met: DataFrame, given: DataFrame) -> DataFrame:
     rows = narrowed(relabelled(rows, labels), losses)
     for _ in range(ROUNDS):
         rows = written(narrowed(with_tokens_elsewhere(written(rows), sets), losses))
+        tidy(docs.sparkSession)
     more = cut(remaining(rows, sets))
     return labels if more.isEmpty() else components(found.unionByName(confirmed(forest(more, labels), docs)))
 
@@ -500,6 +502,7 @@ def link(docs: DataFrame) -> DataFrame:
     firsts = docs.where("doc_id is not null").join(small(each.where("not first").select("doc_id")), "doc_id", "left_anti")
     bridges = owned.join(each.where("low <> high").select("doc_id", "low"), "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     met = written(index(firsts))
+    tidy(docs.sparkSession)
     labels = links_of(firsts, met, bridges)
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of_node = labels.join(least, "label").select(F.col("node").alias("rep"), "component_id")

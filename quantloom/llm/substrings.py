@@ -16,7 +16,6 @@ united per document.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts, written
+from .common import BROADCAST_ROWS, cut, shuffle_parts, tidy, written
 from .near_duplicates import _batch, _texts
 from .vector import blocks, mix, runs, sliced, words_of
 
@@ -157,9 +156,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     for part in range(PASSES):
         one = written(texts.mapInArrow(emit(part), shape).repartition(shuffle_parts(docs), "p").mapInArrow(meet, shape))
         found = one if found is None else found.unionByName(one)
-        # Spark deletes an exchange's files once its plan is collected, here and in the JVM.
-        gc.collect()
-        docs.sparkSession._jvm.System.gc()
+        tidy(docs.sparkSession)
     return found
 
 
