@@ -25,6 +25,12 @@ def ts2(spark, sf_dir):
     return jobs.drained(jobs.sliding_mean(jobs.read_files(spark, sf_dir, "events")), "complete")
 
 
+def ts3(spark, sf_dir):
+    """The contents of a stream, each once within a horizon that spans it."""
+    rows = jobs.read_files(spark, sf_dir, "events").withColumn("content", F.md5(F.concat_ws(":", "event_type", F.col("user_id").cast("string"))))
+    return jobs.drained(jobs.first_of_content(rows, "content", "ts", "3650 days").select("content", "event_type", "user_id"))
+
+
 def ts6(spark, sf_dir):
     return jobs.drained(jobs.sessions(jobs.read_files(spark, sf_dir, "events")), "complete")
 
@@ -37,6 +43,7 @@ def ts8(spark, sf_dir):
 
 _add("ts1_daily_rollup", ts1, f"select cast(ts as date) as day, event_type, count(*) as n, sum({CENTS}) as cents, max(value) as top from events group by 1, 2")
 _add("ts2_sliding_mean", ts2, f"select cast(d.day as date) as day, event_type, count(*) as n, avg({CENTS}) as mean_cents from (select *, unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as day from events) d group by 1, 2")
+_add("ts3_first_contents", ts3, "select distinct md5(event_type || ':' || cast(user_id as varchar)) as content, event_type, user_id from events")
 _add("ts6_sessions", ts6, """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from g)
 select user_id, min(ts) as started, count(*) as n from s group by user_id, k""")
