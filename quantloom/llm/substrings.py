@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts, tidy, written
+from .common import cut, lean, remove, shuffle_parts, small, stored, tidy, word_count
 from .near_duplicates import _batch, _texts
 from .vector import blocks, mix, runs, sliced, words_of
 
@@ -121,8 +121,11 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.concatenate([np.zeros((0, width), np.int64), *(np.frombuffer(x, np.int64).reshape(width, -1).T for x in column.to_pylist())])
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(p, kind, rows): packed rows (a, spot, b, spot), dealt by a: a seed of document a that an earlier place, in b, holds."""
+def anchors(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(p, kind, rows): packed rows (a, spot, b, spot), dealt by a: a seed of document a that an earlier place, in b, holds.
+
+    Also returns the paths of the stored tables that hold them.
+    """
     parts = shuffle_parts(docs) * SPREAD
     shape = "p long, kind long, rows binary"
 
@@ -152,12 +155,13 @@ def anchors(docs: DataFrame) -> DataFrame:
             yield _packed(1, matched[matched[:, 0] != matched[:, 2]], parts)
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = None
+    found, paths = None, []
     for part in range(PASSES):
-        one = written(texts.mapInArrow(emit(part), shape).repartition(shuffle_parts(docs), "p").mapInArrow(meet, shape))
+        one, path = stored(texts.mapInArrow(emit(part), shape).repartition(shuffle_parts(docs), "p").mapInArrow(meet, shape))
         found = one if found is None else found.unionByName(one)
+        paths.append(path)
         tidy(docs.sparkSession)
-    return found
+    return found, paths
 
 
 class Reach:
@@ -326,9 +330,26 @@ def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = cut(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+def _few(ids: DataFrame) -> DataFrame:
+    """A stored table of numbers, marked for broadcast if it is small."""
+    return small(cut(ids))
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row per doc_id: of several texts under one, the smallest."""
+    again = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    again = small(again)
+    return docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, first, n_words): texts that an earlier document has as a whole, told apart by a 256-bit digest."""
+    keyed = docs.where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    groups = _few(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    sizes = docs.join(groups.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("first"), word_count(F.col("text")).alias("n_words"))
+    return cut(keyed.join(groups, "digest").where("doc_id > first").select("doc_id", "first").join(_few(sizes), "first").select("doc_id", "first", "n_words"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -336,13 +357,21 @@ def passages(docs: DataFrame) -> DataFrame:
 
     ``start`` and ``length`` count words.  ``others`` are the documents the
     passage was matched with.  The first occurrence is no row of its own; it
-    is among the others.  Texts under 40 words, null and empty ones have none;
-    rows of one doc_id count as one document, rows without one as none.
+    is among the others.  A text that equals an earlier one is a passage as a
+    whole, matched with the first of them, and seeds nothing itself.  Texts
+    under 40 words, null and empty ones have none; of several texts under one
+    doc_id the smallest counts, rows without one have none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = cut(chains(anchors(docs)))
-    texts = _wanted(docs, found.select(F.explode(F.array("a", "b")).alias("doc_id"))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    sides = cut(texts.select("doc_id", F.col("text").cast("binary").alias("text")))
+    spark = docs.sparkSession
+    lean(spark)
+    docs = _single(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    copies = _copies(docs)
+    docs = docs.join(small(copies.select("doc_id")), "doc_id", "left_anti")
+    matched, paths = anchors(docs)
+    found = stored(chains(matched))[0]
+    del matched
+    remove(spark, *paths)
+    sides = docs.join(_few(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     joined = found.join(sides.toDF("a", "ta"), "a").join(sides.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +398,9 @@ def passages(docs: DataFrame) -> DataFrame:
     fresh = F.coalesce(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)) + JOIN_GAP, F.lit(True))
     island = aligned.withColumn("new", fresh.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     united = island.groupBy("doc_id", "island").agg(F.min("low").alias("start"), F.max("high").alias("end"), F.max("n_equal").alias("n_equal"), F.array_sort(F.collect_set("other")).alias("others"))
-    return united.withColumn("length", F.col("end") - F.col("start")).where(F.col("length") >= MIN_WORDS).select("doc_id", "start", "length", "n_equal", "others")
+    united = united.select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "n_equal", "others")
+    whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), F.col("n_words").alias("n_equal"), F.array("first").alias("others"))
+    return united.unionByName(whole).where(F.col("length") >= MIN_WORDS)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
