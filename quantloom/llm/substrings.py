@@ -35,6 +35,10 @@ MIN_WORDS, MIN_CHAIN, SIMILARITY = 40, 12, 0.8
 #: Gain of half a seed, cost of a word that a gap skips in either text, longest gap.
 GAIN, COST, MAX_GAP = 4.0, 0.05, 48
 JOIN_GAP = 4
+#: Equal words that one word that differs costs when a chain grows.
+LOSS = round(SIMILARITY / (1 - SIMILARITY))
+#: Words of growth that are looked at for many chains together; more than MAX_GAP.
+WINDOW = 160
 #: Words from one half to the next on a diagonal up to which they are one stretch.
 STRETCH = K + 1
 NONE = (-1e18, -1)
@@ -52,26 +56,27 @@ def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray
     """
     w = words_of([t.lower() for t in texts])
     h, at = runs(w.hashes(), w.first, K)
-    doc = np.searchsorted(w.first, at, side="right") - 1
-    end = w.first[doc + 1]
-    keep = end - w.first[doc] >= MIN_WORDS
-    h, at, doc, end = h[keep], at[keep], doc[keep], end[keep]
-    n, keys, good = len(h), [], []
+    # Equal seeds start with equal words, which are what deals seeds to parts.
+    took = np.flatnonzero((h >> np.uint64(7)) % np.uint64(parts) == part)
+    doc = np.searchsorted(w.first, at[took], side="right") - 1
+    keep = np.diff(w.first)[doc] >= MIN_WORDS
+    took, doc = took[keep], doc[keep]
+    left = w.first[doc + 1] - at[took]
     factor = np.uint64(0x9E3779B97F4A7C15)
+
+    def after(words: int) -> np.ndarray:
+        return h[np.minimum(took + words, len(h) - 1)]
+
     with np.errstate(over="ignore"):
-        for skip in APART:
-            keys.append(mix(h * factor + np.roll(h, -K - skip)))
-            good.append(end - at >= 2 * K + skip)
-        whole = keys[0]
-        for step in range(2 * K, LONG, 2 * K):
-            whole = mix(whole * factor + np.roll(keys[0], -step) + np.uint64(step))
-    keys.append(whole)
-    good.append(end - at >= LONG)
-    key, good = np.stack(keys, 1).ravel() if n else np.zeros(0, np.uint64), np.stack(good, 1).ravel()
-    good &= (key >> np.uint64(7)) % np.uint64(parts) == part
+        keys = [mix(h[took] * factor + after(K + skip)) for skip in APART]
+        whole = h[took]
+        for step in range(K, LONG, K):
+            whole = whole * factor + after(step)
+        keys.append(mix(whole + np.uint64(LONG)))
+    good = np.stack([*(left >= 2 * K + skip for skip in APART), left >= LONG], 1).ravel()
     take = np.flatnonzero(good)
     row, kind = take // len(keys), take % len(keys)
-    return key[take].view(np.int64), doc[row], 2 * (at[row] - w.first[doc[row]]) + np.where(kind < len(APART), kind, 0)
+    return np.stack(keys, 1).ravel()[take].view(np.int64), doc[row], 2 * (at[took] - w.first[doc])[row] + np.where(kind < len(APART), kind, 0)
 
 
 def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,8 @@ def _packed(kind: int, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     """(p, kind, rows): rows of numbers dealt by the first of them and packed, one row per part."""
     with np.errstate(over="ignore"):
         p = (mix(rows[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
+    # Few names are sorted as short numbers, which takes one pass.
+    order = np.argsort(p.astype(np.uint16) if parts <= 1 << 16 else p, kind="stable")
     rows, p = rows[order], p[order]
     cuts = np.flatnonzero(np.diff(p)) + 1
     names = p[np.concatenate([[0], cuts])] if len(p) else p
@@ -280,6 +286,13 @@ def align(x: np.ndarray, y: np.ndarray) -> int:
     """Words in common of the best alignment; equal ends are taken off first."""
     n = min(len(x), len(y))
     same = x[:n] == y[:n]
+    if len(x) == len(y):
+        equal = int(np.count_nonzero(same))
+        if equal == n:
+            return n
+        ends = int(same.argmin()) + int(same[::-1].argmin())
+        if equal - ends >= SIMILARITY * (n - ends):
+            return equal
     head = n if same.all() else int(same.argmin())
     x, y = x[head:], y[head:]
     n = min(len(x), len(y))
@@ -289,8 +302,6 @@ def align(x: np.ndarray, y: np.ndarray) -> int:
     common = head + tail
     if not len(x) or not len(y):
         return common
-    if len(x) == len(y) and (x == y).mean() >= SIMILARITY:
-        return common + int((x == y).sum())
     row = np.zeros(len(y) + 1, np.int64)
     for v in x:
         row[1:] = np.maximum(row[1:], row[:-1] + (y == v))
@@ -298,28 +309,83 @@ def align(x: np.ndarray, y: np.ndarray) -> int:
     return common + int(row[-1])
 
 
-def _grow(same: np.ndarray) -> int:
-    """Words to go on: as far as equal words gain most, if one that differs costs what SIMILARITY sets against it."""
-    gain = np.cumsum(np.where(same, 1.0, -SIMILARITY / (1 - SIMILARITY)).round(9))
-    best = gain.max(initial=0.0)
-    return int(np.flatnonzero(gain >= best)[-1]) + 1 if (gain >= best).any() else 0
+def _grow(x: np.ndarray, y: np.ndarray) -> int:
+    """Words to go on: as far as equal words gain most, if one that differs costs what SIMILARITY sets against it.
+
+    Growth ends for good where it has lost more than MAX_GAP differing words cost.
+    """
+    n, at, size, total, best, end = min(len(x), len(y)), 0, 64, 0, 0, 0
+    while at < n:
+        gain = total + np.cumsum(np.where(x[at : at + size][: n - at] == y[at : at + size][: n - at], 1, -LOSS))
+        lost = gain < np.maximum(np.maximum.accumulate(gain), best) - LOSS * MAX_GAP
+        over = bool(lost.any())
+        if over:
+            gain = gain[: int(lost.argmax())]
+        if len(gain) and gain.max() >= best:
+            best = int(gain.max())
+            end = at + int(np.flatnonzero(gain == best)[-1]) + 1
+        if over:
+            break
+        at, total, size = at + len(gain), int(gain[-1]), 2 * size
+    return end
 
 
 def extend(x: np.ndarray, y: np.ndarray, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
     """A chain grown at both ends, over words that differ where enough equal ones follow."""
-    n = min(a0, b0)
-    left = _grow((x[a0 - n : a0] == y[b0 - n : b0])[::-1])
-    n = min(len(x) - a1, len(y) - b1)
-    right = _grow(x[a1 : a1 + n] == y[b1 : b1 + n])
+    left, right = _grow(x[:a0][::-1], y[:b0][::-1]), _grow(x[a1:], y[b1:])
     return a0 - left, a1 + right, b0 - left, b1 + right
 
 
-def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(a start, a end, equal words) of a chain that is alike enough, or else of the parts of it that are, split at the widest gaps."""
+def _grow_many(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, step: int) -> np.ndarray:
+    """What ``_grow`` finds from many places at once, forwards or backwards; -1 where WINDOW words don't settle it."""
+    out = np.empty(len(at_x), np.int64)
+    way = step * np.arange(WINDOW)
+    for low in range(0, len(at_x), 4096):
+        ax, ay = at_x[low : low + 4096, None] + way, at_y[low : low + 4096, None] + way
+        gain = np.cumsum(np.where(x[ax] == y[ay], 1, -LOSS), axis=1)
+        lost = gain < np.maximum(np.maximum.accumulate(gain, axis=1), 0) - LOSS * MAX_GAP
+        gain[np.maximum.accumulate(lost, axis=1)] = -1
+        end = WINDOW - gain[:, ::-1].argmax(axis=1)
+        out[low : low + 4096] = np.where(lost[:, -1] | lost.any(axis=1), np.where(gain.max(axis=1) >= 0, end, 0), -1)
+    return out
+
+
+def judge_many(items: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, int, int]]]:
+    """``judge`` of every (words of a, words of b, chain), the first growth of all together."""
+    if not items:
+        return
+    # Around each text, words that equal none of the other side.
+    flat, start = [], []
+    for side, fence in ((0, 0), (1, 1)):
+        at, pieces, places, known = WINDOW, [np.full(WINDOW, fence, np.uint64)], [], None
+        for item in items:
+            if item[side] is not known:
+                known, here = item[side], at
+                pieces += [known, np.full(WINDOW, fence, np.uint64)]
+                at += len(known) + WINDOW
+            places.append(here)
+        flat.append(np.concatenate(pieces))
+        start.append(np.array(places))
+    ends = np.array([(c[0, 0], c[-1, 1], c[0, 2], c[-1, 3]) for _, _, c in items], np.int64)
+    left = _grow_many(*flat, start[0] + ends[:, 0] - 1, start[1] + ends[:, 2] - 1, -1)
+    right = _grow_many(*flat, start[0] + ends[:, 1], start[1] + ends[:, 3], 1)
+    grown = ends + np.stack([-left, right, -left, right], 1)
+    for (x, y, c), now, settled in zip(items, grown.tolist(), ((left >= 0) & (right >= 0)).tolist(), strict=True):
+        yield judge(x, y, c, now if settled else None)
+
+
+def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray, grown: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(a start, a end, equal words) of a chain that is alike enough, or else of the parts of it that are, split at the widest gaps.
+
+    ``grown`` are the ends of the whole chain after growth, if known.
+    """
     out, todo = [], [parts]
     while todo:
         now = todo.pop()
-        a0, a1, b0, b1 = extend(x, y, *(int(v) for v in (now[0, 0], now[-1, 1], now[0, 2], now[-1, 3])))
+        a0, a1, b0, b1 = grown or extend(x, y, *(int(v) for v in (now[0, 0], now[-1, 1], now[0, 2], now[-1, 3])))
+        grown = None
+        if len(now) == 1 and a1 - a0 < MIN_CHAIN:
+            continue
         equal = align(x[a0:a1], y[b0:b1])
         if equal >= SIMILARITY * max(a1 - a0, b1 - b0):
             out += [(a0, a1, equal)] if a1 - a0 >= MIN_CHAIN else []
@@ -386,10 +452,13 @@ def passages(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                rows = []
+                names, items = [], []
                 for r in batch.slice(low, 256).to_pylist():
                     x, y = hashes(r["a"], r["ta"]), hashes(r["b"], r["tb"])
-                    rows += [(r["a"], *part, r["b"]) for parts in chains_of(r["parts"]) for part in judge(x, y, parts)]
+                    own = [(x, y, parts) for parts in chains_of(r["parts"])]
+                    items += own
+                    names += [(r["a"], r["b"])] * len(own)
+                rows = [(a, *part, b) for (a, b), found in zip(names, judge_many(items), strict=True) for part in found]
                 wide = np.array(rows, np.int64).reshape(-1, 5)
                 yield _batch(dict(zip(("doc_id", "low", "high", "n_equal", "other"), wide.T, strict=True)))
 
