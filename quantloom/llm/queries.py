@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, near_duplicates, packing, pii, quality, rules, substrings, toxicity
+from . import chat, media, mixing, near_duplicates, packing, pii, quality, rules, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": rules.op9_rules,
     "op10_chat": chat.op10_chat,
+    "op11_token_counts": token_counts.op11_token_counts,
 }
 
 ORACLE_SQL = {
