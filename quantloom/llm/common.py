@@ -78,11 +78,16 @@ def written(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
-def remove(spark, *paths: str) -> None:
+def discard(spark, *paths: str) -> None:
     """Delete stored tables that no plan still to run reads."""
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove(spark, *paths: str) -> None:
+    """``discard``, and what else nothing refers to."""
+    discard(spark, *paths)
     tidy(spark)
 
 
