@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, merkle, mixing, near_duplicates, packing, pii, quality, rules, substrings, token_counts, toxicity
+from . import chat, hard_negatives, media, merkle, mixing, near_duplicates, packing, pii, quality, rules, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_token_counts": token_counts.op11_token_counts,
     "op12_merkle": merkle.op12_merkle,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op12_merkle": merkle.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
