@@ -102,19 +102,21 @@ STEP = "array<struct<left: string, right: string>>"
 
 
 def paths(above: list[DataFrame], group: str, top: DataFrame | None) -> DataFrame:
-    """(group, idx, path) of the lowest level of ``above``: siblings level by level up to the root, then those of ``top`` by group.
+    """(group, idx, root, path) of the lowest level of ``above``: siblings level by level up to the group's root, then those of ``top`` by group.
 
-    Each level takes what its parents have; tables get smaller by the fan from level to level.
+    Each level takes what its parents have; tables get smaller by the fan from
+    level to level, and only roots, one a group, meet ``top``.
     """
-    found = above[-1].select(group, "idx", F.array().cast(STEP).alias("path")) if top is None else above[-1].select(group, "idx").join(top, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    roots = above[-1].select(group, "idx", F.col("digest").alias("root"))
+    found = roots.withColumn("path", F.array().cast(STEP)) if top is None else roots.join(top, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     for nodes in reversed(above[:-1]):
         found = add_level(nodes, found, group)
-    return found.select(group, "idx", "path")
+    return found.select(group, "idx", "root", "path")
 
 
 def add_level(nodes: DataFrame, parent_paths: DataFrame, group: str) -> DataFrame:
-    """``nodes`` with their path: their own siblings, then their parent's path."""
-    up = parent_paths.select(F.col(group).alias("_pg"), F.col("idx").alias("_pi"), F.col("path").alias("_up"))
+    """``nodes`` with the root above them and their path: their own siblings, then their parent's path."""
+    up = parent_paths.select(F.col(group).alias("_pg"), F.col("idx").alias("_pi"), F.col("path").alias("_up"), "root")
     met = siblings(nodes, group).join(up, (F.floor(F.col("idx") / FAN) == F.col("_pi")) & F.col(group).eqNullSafe(F.col("_pg")))
     own = F.array(F.struct("left", "right")).cast(STEP)
     return met.withColumn("path", F.when(F.col("n") > 1, F.concat(own, F.col("_up"))).otherwise(F.col("_up"))).drop("_pg", "_pi", "_up", "left", "right")
@@ -143,19 +145,17 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "lang", columns:
     trees = levels(rows, "grp", most)
     subroots, n_groups = numbered(trees[-1].select(F.lit(0).alias("all"), F.col("grp").alias("sub"), "digest"), "all", ["sub"])
     tops = levels(subroots, "all", n_groups)
-    found_root = tops[-1].first()
-    root = F.lit(found_root["digest"] if found_root else None).cast("binary")
+    whole = tops[-1].first()
+    root = F.lit(whole["digest"] if whole else None).cast("binary")
     top_paths = paths(tops, "all", None)
-    by_group = subroots.join(top_paths.select(F.col("idx").alias("_i"), "path"), F.col("idx") == F.col("_i")).select(F.col("sub").alias("_g"), "path", F.col("digest").alias("_subroot"))
-    top = by_group.select("_g", "path")
+    top = subroots.join(top_paths.select(F.col("idx").alias("_i"), "path"), F.col("idx") == F.col("_i")).select(F.col("sub").alias("_g"), "path")
     if len(trees) > 1:
         found = add_level(rows, paths(trees[1:], "grp", top), "grp")
     else:
-        found = rows.join(top, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
-    found = found.join(by_group.select("_g", "_subroot"), F.col("grp").eqNullSafe(F.col("_g")))
+        found = rows.withColumn("root", F.col("digest")).join(top, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
     leaf, path = shown(F.col("digest")), F.col("path")
     sides = F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), "")
-    out = found.select(F.col("key").alias(key), leaf.alias("leaf"), shown(F.col("_subroot")).alias("subroot"), shown(root).alias("root"), digest(sides).alias("proof_sha256"), folded(shown(F.col("seen")), path).alias("folded_root"))
+    out = found.select(F.col("key").alias(key), leaf.alias("leaf"), shown(F.col("root")).alias("subroot"), shown(root).alias("root"), digest(sides).alias("proof_sha256"), folded(shown(F.col("seen")), path).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
