@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import standalone
+from ..functions.columns import quantise
+from ..sources.fixtures import standalone, table
 from ..streaming import jobs
-from .base import ORACLE_SQL, QUERIES
+from ..streaming import state as stateful
+from ..streaming.upsert import KeyedTable, in_slices, upsert_stream
+from .base import ORACLE_SQL, QUERIES, sql_q
+from .series_queries import _EWM
 
 CENTS = "cast(floor(value * 1e2 + 5e-1) as bigint)"
 
@@ -41,6 +45,30 @@ def ts8(spark, sf_dir):
     return jobs.drained(jobs.read_files(spark, sf_dir, "events").join(kinds, "event_type").select("event_id", "event_type", "n_kind"))
 
 
+def ts4(spark, sf_dir):
+    """Fundamentals that arrive in day order, in three runs of a stream, merged into a keyed table."""
+    fund = table(spark, sf_dir, "fund").select("ts_code", "ann_date", "end_date", "seq", "eps", "roe")
+    place = jobs.place_of(spark)
+    shape = "ts_code string, ann_date date, end_date date, seq long, eps double, roe long"
+    held = KeyedTable(spark, f"{place}/table", shape, ["ts_code", "end_date"], ["seq"])
+    for part in in_slices(fund, "ann_date", ["1994-06-01", "1997-01-01"]):
+        part.write.mode("append").parquet(f"{place}/inbox")
+        upsert_stream(spark.readStream.schema(shape).parquet(f"{place}/inbox"), held, f"{place}/state")
+    return held.read().select("ts_code", "end_date", "seq", "eps", "roe")
+
+
+def ts7(spark, sf_dir):
+    """MACD and rising days of the bars, fed in three runs: the state carries on where the run before ended."""
+    bars = table(spark, sf_dir, "bars").select("ts_code", "trade_date", "close", "pct_chg")
+    rows, _ = stateful.feed(spark, in_slices(bars, "trade_date", ["1994-06-01", "1997-01-01"]))
+    return rows.select("ts_code", "trade_date", quantise(F.col("macd"), 3).alias("macd"), quantise(F.col("macd_signal"), 3).alias("macd_signal"), "up_days")
+
+
+_add("ts4_upsert_stream", ts4, "select ts_code, end_date, seq, eps, roe from (select *, row_number() over (partition by ts_code, end_date order by ann_date desc, seq desc) as n from fund) x where n = 1")
+_add("ts7_keyed_state", ts7, _EWM.rstrip() + f""", f as (select *, sum(case when pct_chg > 0 then 0 else 1 end) over (partition by ts_code order by trade_date rows between unbounded preceding and current row) as island from bars),
+u as (select ts_code, trade_date, cast(sum(case when pct_chg > 0 then 1 else 0 end) over (partition by ts_code, island order by trade_date rows between unbounded preceding and current row) as integer) as up_days from f)
+select b.ts_code, b.trade_date, {sql_q('e.f - e.s', 3)} as macd, {sql_q('e.sig', 3)} as macd_signal, u.up_days
+from e join b on b.ts_code = e.ts_code and b.i = e.i join u on u.ts_code = b.ts_code and u.trade_date = b.trade_date""")
 _add("ts1_daily_rollup", ts1, f"select cast(ts as date) as day, event_type, count(*) as n, sum({CENTS}) as cents, max(value) as top from events group by 1, 2")
 _add("ts2_sliding_mean", ts2, f"select cast(d.day as date) as day, event_type, count(*) as n, avg({CENTS}) as mean_cents from (select *, unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as day from events) d group by 1, 2")
 _add("ts3_first_contents", ts3, "select distinct md5(event_type || ':' || cast(user_id as varchar)) as content, event_type, user_id from events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,23 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return first is not None and first["f"].rstrip("/").endswith(path.rpartition("/")[2])
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a finite stream emits, as a table in the session's shared folder; offsets and state are kept beside it."""
-    spark = stream.sparkSession
+def place_of(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder that the session names; where none is set, in one of our own, on a single machine only."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    place = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a finite stream emits, as a table in the session's shared folder; offsets and state are kept beside it."""
+    spark = stream.sparkSession
+    place = place_of(spark)
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{place}/out")
