@@ -20,11 +20,12 @@ def content_hash(text: Column, prefix: int = 200, digits: int = 16) -> Column:
 def keep_earliest(news: DataFrame, key: str, order: list[str], exempt: Column) -> DataFrame:
     """The first row per key; rows that are exempt all stay.
 
-    Exempt rows bypass the window, so an empty key is no hot group.
+    One pass: an exempt row's window is its own, named by its order columns, so
+    that an empty key is no hot group.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    kept = news.where(~exempt).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return kept.unionByName(news.where(exempt))
+    own = F.when(exempt, F.concat_ws("|", F.lit("own"), *[F.col(c).cast("string") for c in order])).otherwise(F.concat(F.lit("key|"), F.col(key)))
+    w = Window.partitionBy(own).orderBy(*order)
+    return news.withColumns({"_n": F.row_number().over(w), "_exempt": exempt}).where("_n = 1 or _exempt").drop("_n", "_exempt")
 
 
 def dedupe_news(news: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def ngrams(text: Column, low: int, high: int) -> Column:
 ALIAS_CLASSES = (1, 2, 3, 4, 6, 8, 12, 16)
 
 
-def link_aliases(texts: DataFrame, aliases: DataFrame, text: str, alias: str) -> DataFrame:
+def link_by_runs(texts: DataFrame, aliases: DataFrame, text: str, alias: str) -> DataFrame:
     """Rows of ``texts`` joined with the aliases they contain, at any character, each pair once.
 
     Aliases are of a few length classes.  Texts and aliases meet on the first

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the rows answers.
-BLOCK = 4096
+#: Queries and rows of a tile, and scores that a task holds at a time.
+QUERIES, ROWS, SCORES = 4096, 32_768, 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,50 +28,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, id_: str, vector: str, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, row_id, score, rank) of the k rows of largest cosine for every query, other ids only, ties by id.
-
-    The stated query set meets all rows in blocks: each block of queries is a
-    bounded matrix that every task multiplies with its batches, keeping k per
-    query and task; one small shuffle then merges them.
-    """
-    spark = rows.sparkSession
-    names = queries.select(F.col(id_).alias("q")).distinct()
-    n = names.count()
-    edges = [None] if n <= BLOCK else names.approxQuantile("q", [i / (-(-n // BLOCK)) for i in range(1, -(-n // BLOCK))], 0.001)
-    limits = [-np.inf, *[e for e in edges if e is not None], np.inf]
-    out = None
-    for low, high in zip(limits[:-1], limits[1:], strict=True):
-        part = queries.where((F.col(id_) > low) & (F.col(id_) <= high)).select(F.col(id_).cast("long"), vector).orderBy(id_).toArrow()
-        ids, matrix = part.column(0).to_numpy(), _matrix(part.column(1))
-        if len(ids):
-            found = _block(spark, rows, id_, vector, ids, matrix, k, least)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, row_id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """``df`` with a tile number by hash of the id, about ``size`` rows a tile; of a small table, fewer, so that all tasks have work."""
+    n, parts = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = max(1, -(-n // size), min(parts, -(-n * 16 // size)))
+    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")), tiles
 
 
-def _block(spark, rows: DataFrame, id_: str, vector: str, ids: np.ndarray, matrix: np.ndarray, k: int, least: float) -> DataFrame:
-    held = spark.sparkContext.broadcast((ids, matrix))
+def top_k(queries: DataFrame, rows: DataFrame, id_: str, vector: str, k: int, least: float = -1.0, others: bool = True) -> DataFrame:
+    """(query_id, row_id, score, rank) of the k rows of largest cosine for every query, ties by id; ``others`` leaves out the query's own id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, m = held.value
-        best_s, best_i = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), np.int64)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                row, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                score = np.round(m @ x.T, 9)
-                score[q[:, None] == row[None, :]] = -np.inf
+    The stated query set meets all rows in tiles of bounded size, each a matrix
+    product in one task; k per query and tile are kept, and one small shuffle merges them.
+    Null vectors are zero vectors; several rows of one id count each.
+    """
+    left, m = _dealt(queries.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")), QUERIES, "query_tile")
+    right, n = _dealt(rows.select(F.col(id_).cast("long").alias("row"), F.col(vector).alias("row_vector")).withColumn("id", F.col("row")), ROWS, "row_tile")
+    left = left.withColumn("row_tile", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = right.drop("id").withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        ids, found = one.column("id").to_numpy() if one.num_rows else np.empty(0, np.int64), []
+        if one.num_rows and other.num_rows:
+            a, b, row = _matrix(one.column("vector")), _matrix(other.column("row_vector")).T, other.column("row").to_numpy()
+            step = max(1, SCORES // len(row))
+            for low in range(0, len(ids), step):
+                score = np.round(a[low : low + step] @ b, 9)
+                if others:
+                    score[ids[low : low + step, None] == row[None, :]] = -np.inf
                 score[score < least] = -np.inf
-                s = np.concatenate([best_s, score], 1)
-                i = np.concatenate([best_i, np.broadcast_to(row, score.shape)], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        good = np.isfinite(best_s)
-        query = np.broadcast_to(q[:, None], best_s.shape)[good]
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best_i[good]), pa.array(best_s[good])], ["query_id", "row_id", "score"])
-
-    return rows.select(F.col(id_).cast("long"), vector).mapInArrow(run, "query_id long, row_id long, score double")
+                order = np.lexsort((np.broadcast_to(row, score.shape), -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1)
+                good = np.isfinite(best)
+                found.append((np.broadcast_to(ids[low : low + step, None], best.shape)[good], row[order][good], best[good]))
+        q, r, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"query_id": q, "row_id": r, "score": s})
+
+    keys = ["query_tile", "row_tile"]
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, row_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

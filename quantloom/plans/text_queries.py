@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import quantise
+from ..operators import linking as L
 from ..operators import text as X
 from ..operators import vectors as V
 from .base import query, sql_q
@@ -69,7 +70,7 @@ def f15(T):
 
 @query("j14_alias_links", "select n.doc_id, a.item_id from news n join alias a on contains(n.content, a.alias)")
 def j14(T):
-    return X.link_aliases(T("news").select("doc_id", "content"), T("alias"), "content", "alias").select("doc_id", "item_id").distinct()
+    return L.link_aliases(T("news").select("doc_id", "content"), T("alias"), "content", "alias").select("doc_id", "item_id").distinct()
 
 
 @query("f17_norms", f"select vec_id, {sql_q('sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))))', 3)} as norm from embeddings")
