@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quantise
 from ..operators import ensembles as E
+from ..operators import patterns as P
 from ..operators import regimes as R
+from ..operators import residuals as D
 from ..operators import timeseries as S
 from .base import query, sql_q
 
@@ -108,3 +110,53 @@ def l12(T):
 def l12_split(T):
     """Every bar's split by its block, purged before each change."""
     return R.split_days(T("bars"), R.assign(_regimes(T), "ts_code", 100, 90), "ts_code", 15)
+
+
+def _halves(name: str, window: int, top: bool) -> str:
+    """The steps of a pattern of two halves, as common table expressions."""
+    half, worst, best = window // 2, "max" if top else "min", "min" if top else "max"
+    out, back = ("<", "1 - 2e-2") if top else (">", "1 + 2e-2")
+    seg = f"over (partition by ts_code order by trade_date rows between {window} preceding and 1 preceding)"
+    return f"""{name}_s as (select ts_code, trade_date, case when count(*) {seg} = {window} then list(close) {seg} end as s from bars),
+{name}_h as (select *, list_position(s[1:{half}], list_{worst}(s[1:{half}])) as l, list_position(s[{half + 1}:{window}], list_{worst}(s[{half + 1}:{window}])) + {half} as r from {name}_s),
+{name}_m as (select *, list_position(s[l + 1:r], list_{best}(s[l + 1:r])) + l as m from {name}_h),
+{name} as (select ts_code, trade_date, case when s is null then 0e0 when l < m and m < r and abs(s[l] - s[r]) / (s[l] + 1e-10) < 2e-2 and s[m] {out} s[l] * ({back}) and s[m] {out} s[r] * ({back})
+  then case when s[{window}] {out} s[m] then 1e0 when s[{window}] {out} (s[l] + s[m]) / 2 then 5e-1 else 0e0 end else 0e0 end as {name} from {name}_m)"""
+
+
+_SHAPES = {"w_short": (10, False), "w_long": (20, False), "m_short": (10, True), "m_long": (20, True)}
+
+
+@query("w34_two_halves", f"with {', '.join(_halves(n, *a) for n, a in _SHAPES.items())} select w_short.ts_code, w_short.trade_date, w_short, w_long, m_short, m_long from w_short {' '.join(f'join {n} on {n}.ts_code = w_short.ts_code and {n}.trade_date = w_short.trade_date' for n in list(_SHAPES)[1:])}")
+def w34(T):
+    """W bottoms and M tops in the 10 and the 20 bars before."""
+    d = T("bars").select(*KEYS, "close")
+    for name, (window, top) in _SHAPES.items():
+        d = P.with_pattern(d, "close", window, name, top)
+    return d.select(*KEYS, *_SHAPES)
+
+
+@query("w35_double_patterns")
+def w35(T):
+    """Double bottoms and tops by prominence that the bar breaks out of, in the 60 bars before."""
+    return P.double_patterns(T("bars").select(*KEYS, "close"))
+
+
+_FIT = """with e as (select fold, target - pred_b as e from preds where target is not null and pred_b is not null),
+f as (select fold, count(*) as n, avg(e) as mu, stddev_pop(e) as s, kurtosis_pop(e) as k from e group by 1 having count(*) >= 200),
+d as (select *, case when k > 0 then greatest(4 + 6 / k, 25e-1) end as df from f)
+"""
+
+
+@query("a56_residual_fit", _FIT + f"select fold, n, {sql_q('mu')} as mu, {sql_q('greatest(case when df is null then s else s * sqrt((df - 2) / df) end, 1e-6)')} as sigma, {sql_q('df', 2)} as df from d")
+def a56(T):
+    """Student t of each fold's errors."""
+    found = D.fit(T("preds"), "pred_b", "target", ["fold"], 200)
+    return found.select("fold", "n", quantise(F.col("mu")).alias("mu"), quantise(F.col("sigma")).alias("sigma"), quantise(F.col("df"), 2).alias("df"))
+
+
+@query("a56_probabilities")
+def a56_chances(T):
+    """Chances of every forecast by its fold's distribution, and its 80 % interval."""
+    p = T("preds").select(*KEYS, "fold", "pred_b", "target")
+    return D.probabilities(p, D.fit(p, "pred_b", "target", ["fold"], 200), "pred_b", ["fold"]).drop("target")
