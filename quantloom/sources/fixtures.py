@@ -131,13 +131,19 @@ from f_sig
 select ts_code, trade_date, 0 - x / 1e4 as pred_a, s1 / 1e4 as pred_b,
        0 - sqrt((s2 - s1 * s1 / 2e1) / 19e0) / 1e4 as pred_c, target, year(trade_date) - 1995 as fold
 from f_roll where k = 20 and target is not null
+""",
+    "f_moves": """
+select dt, max(is_day) as is_day, sum(p) as p, sum(c) as c from (
+  select trade_date as dt, 1 as is_day, cast(0 as bigint) as p, cast(0 as bigint) as c from bars
+  union all select entry_date, 0, 0, cast(floor(cost_basis * 1e2 + 5e-1) as bigint) from trades
+  union all select exit_date, 0, cast(floor(pnl * 1e2 + 5e-1) as bigint), 0 - cast(floor(cost_basis * 1e2 + 5e-1) as bigint) from trades) x
+group by dt
 """,
     "equity": """
-select d.trade_date,
-       1e6 + sum(case when t.exit_date <= d.trade_date then cast(floor(t.pnl * 1e2 + 5e-1) as bigint) else 0 end) / 1e2 as nav,
-       sum(case when t.entry_date <= d.trade_date and t.exit_date > d.trade_date
-                then cast(floor(t.cost_basis * 1e2 + 5e-1) as bigint) else 0 end) / 1e2 as invested
-from (select distinct trade_date from bars) d cross join trades t group by d.trade_date
+select dt as trade_date, 1e6 + p / 1e2 as nav, c / 1e2 as invested from (
+  select dt, is_day, sum(p) over (order by dt rows between unbounded preceding and current row) as p,
+         sum(c) over (order by dt rows between unbounded preceding and current row) as c from f_moves) y
+where is_day = 1
 """,
     "idxw": """
 select e.snapshot_date, c.ts_code, 1.0e0 as in_index
