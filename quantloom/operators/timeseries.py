@@ -84,12 +84,7 @@ def fill_forward(df: DataFrame, *names: str) -> DataFrame:
 
 def ewm_mean(x: np.ndarray, alpha: float) -> np.ndarray:
     """Recursive mean y = (1 - alpha) y' + alpha x from the first value that isn't missing; missing values repeat y."""
-    out, y = np.full(len(x), np.nan), np.nan
-    for i, v in enumerate(x):
-        if not np.isnan(v):
-            y = v if np.isnan(y) else (1 - alpha) * y + alpha * v
-        out[i] = y
-    return out
+    return pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float]]) -> DataFrame:
