@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +38,41 @@ def place_of(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a finite stream emits, as a table in the session's shared folder; offsets and state are kept beside it."""
+def drained(stream: DataFrame) -> DataFrame:
+    """All that a finite stream emits row by row, as a table in the session's shared folder; offsets and state are kept beside it."""
     spark = stream.sparkSession
     place = place_of(spark)
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
 
-    stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+#: How far after the last event the closing row lies.
+CLOSING = "interval 10 years"
+
+
+def closed(events: DataFrame, windows: Callable[[DataFrame], DataFrame], last: datetime, at: str = "ts") -> DataFrame:
+    """What ``windows`` emits of a finite stream when all of its windows have closed.
+
+    Windows are emitted once the watermark has passed them, and their state is
+    dropped then.  When the stream is drained, one row long after ``last``,
+    whose other columns are null, moves the watermark on; its own window stays open, and nothing of
+    it is emitted.  The stream goes on from its checkpoint in between, as after a restart.
+    """
+    spark, place = events.sparkSession, place_of(events.sparkSession)
+    schema = events.schema
+    none = spark.createDataFrame([], schema)
+    none.write.parquet(f"{place}/closing")
+    both = events.unionByName(spark.readStream.schema(schema).parquet(f"{place}/closing"))
+    out = windows(both)
+
+    def run() -> None:
+        out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    ahead = F.lit(last).cast("timestamp_ntz") + F.expr(CLOSING)
+    spark.range(1).select(*[(ahead if f.name == at else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(f"{place}/closing")
+    run()
+    return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
 def timed(ticks: DataFrame, at: str = "ts") -> DataFrame:
@@ -57,7 +81,7 @@ def timed(ticks: DataFrame, at: str = "ts") -> DataFrame:
 
 
 def daily_rollup(ticks: DataFrame) -> DataFrame:
-    """Tumbling days per event type: count, sum of cents, largest value; late rows are dropped after an hour."""
+    """Tumbling days per event type: count, sum of cents, largest value; a day is emitted, and its late rows dropped, an hour after its end."""
     cents = F.floor(F.col("value") * F.lit(1e2) + F.lit(0.5)).cast("long")
     windows = timed(ticks).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type")
     return windows.agg(F.count("*").alias("n"), F.sum(cents).alias("cents"), F.max("value").alias("top")).select(F.to_date("window.start").alias("day"), "event_type", "n", "cents", "top")

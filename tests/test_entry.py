@@ -21,3 +21,14 @@ import __spark_entry__ as e
 assert e.queries() and e.oracle_sql() and "pipeline" not in e.queries() and not any(n.startswith("op") for n in e.queries())
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=120).returncode == 0
+
+
+def test_the_package_that_is_shipped_can_be_imported(tmp_path):
+    import subprocess
+    import sys
+
+    import __spark_entry__ as entry
+
+    code = "import quantloom.operators.linking, quantloom.plans.registry as r; print(len(r.QUERIES))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": entry._package(), "PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert done.returncode == 0 and int(done.stdout) > 200, done.stderr[-500:]

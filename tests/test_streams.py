@@ -90,3 +90,40 @@ def test_a_batch_without_rows(spark):
     t = table(spark, jobs.place_of(spark))
     assert t.merge(spark.createDataFrame([], KEYED), 0)
     assert rows_of(t) == [] and t.done(0)
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def stream_of(spark, place, *slices):
+    """Events in slices; each is a file of its own that one batch reads, in order."""
+    for rows in slices:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+def at(d, hour=0, minute=0):
+    return dt.datetime(2024, 1, d, hour, minute)
+
+
+def test_closed_windows_drop_late_rows_and_emit_all_else_once(spark):
+    first = [(1, at(1, 5), 1, "a", 1.0, None), (2, at(2, 7), 1, "a", 2.0, None)]
+    second = [(3, at(3, 12), 1, "a", 4.0, None)]
+    late = [(4, at(1, 6), 1, "a", 100.0, None), (5, at(3, 13), 2, "b", 8.0, None)]
+    events = stream_of(spark, f"{jobs.place_of(spark)}/events", first, second, late)
+    got = sorted((r.day.day, r.event_type, r.n, r.cents) for r in jobs.closed(events, jobs.daily_rollup, at(3, 13)).collect())
+    assert got == [(1, "a", 1, 100), (2, "a", 1, 200), (3, "a", 1, 400), (3, "b", 1, 800)]
+
+
+def test_sessions_are_closed_by_the_gap(spark):
+    rows = [(i, at(1, 0, m), u, "a", 1.0, None) for i, (u, m) in enumerate([(1, 0), (1, 20), (1, 55), (2, 10)])]
+    events = stream_of(spark, f"{jobs.place_of(spark)}/events", rows)
+    got = sorted((r.user_id, r.started.minute, r.n) for r in jobs.closed(events, jobs.sessions, at(1, 0, 55)).collect())
+    assert got == [(1, 0, 2), (1, 55, 1), (2, 10, 1)]
+
+
+def test_first_of_content_forgets_beyond_its_horizon(spark):
+    rows = [[(1, at(1), 1, "a", 1.0, None), (2, at(1, 1), 1, "a", 1.0, None)], [(3, at(10), 9, "z", 1.0, None)], [(5, at(10, 1), 8, "y", 1.0, None)], [(4, at(11), 1, "a", 1.0, None)]]
+    events = stream_of(spark, f"{jobs.place_of(spark)}/events", *rows)
+    got = jobs.drained(jobs.first_of_content(events, "event_type", "ts", "2 days").select("event_id", "event_type")).collect()
+    assert sorted(r.event_type for r in got) == ["a", "a", "y", "z"] and {3, 4} <= {r.event_id for r in got}
