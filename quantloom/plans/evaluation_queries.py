@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, quantise, safe_div
+from ..operators import ordering as O
 from ..operators import cross_section as X
 from ..operators import timeseries as S
 from .base import query, scaled, sql_q, sql_scaled
@@ -68,12 +69,12 @@ def a19(T):
 
 
 @query("a21_auc", f"""with r as (select fold, case when target > 0 then 1 else 0 end as y, {RANKS.format(by='fold', c='pred_c')} as k from preds)
-select fold, sum(y) as n_pos, {sql_q('(sum(k * y) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * cast(sum(1 - y) as double))')} as auc from r group by 1""")
+select fold, sum(y) as n_pos, {sql_q('(sum(k * y) - sum(y) * (sum(y) + 1) / 2e0) / nullif(sum(y) * cast(sum(1 - y) as double), 0)')} as auc from r group by 1""")
 def a21(T):
     """Area under the curve from the rank sum of the positives."""
-    d = X.average_rank(T("preds").withColumn("y", (F.col("target") > 0).cast("int")), "pred_c", ["fold"], "k")
+    d = O.average_ranks(T("preds").withColumn("y", (F.col("target") > 0).cast("int")), "pred_c", ["fold"], "k")
     p, n = F.sum("y"), F.sum(1 - F.col("y"))
-    return d.groupBy("fold").agg(p.alias("n_pos"), quantise((F.sum(F.col("k") * F.col("y")) - p * (p + 1) / F.lit(2.0)) / (p * n.cast("double"))).alias("auc"))
+    return d.groupBy("fold").agg(p.alias("n_pos"), quantise(safe_div(F.sum(F.col("k") * F.col("y")) - p * (p + 1) / F.lit(2.0), p * n.cast("double"))).alias("auc"))
 
 
 @query("w31_rank_average", f"select ts_code, trade_date, ({RANKS.format(by='trade_date', c='pred_a')} + {RANKS.format(by='trade_date', c='pred_b')} + {RANKS.format(by='trade_date', c='pred_c')}) / 3e0 / count(*) over (partition by trade_date) as score from preds")
@@ -189,8 +190,16 @@ def a06(T):
 @query("a42_membership", "select c.ts_code, e.snapshot_date, coalesce(i.in_index, 0e0) as in_index from codes c cross join (select distinct snapshot_date from idxw) e left join idxw i on i.ts_code = c.ts_code and i.snapshot_date = e.snapshot_date")
 def a42(T):
     """Full grid of instruments and month ends, zeros included: a member that leaves is cleared."""
-    idxw = T("idxw")
-    return idxw.groupBy("snapshot_date").agg(F.collect_set("ts_code").alias("in")).join(T("codes").agg(F.collect_set("ts_code").alias("all")).hint("broadcast"), F.lit(True)).select("snapshot_date", "in", F.explode("all").alias("ts_code")).select("ts_code", "snapshot_date", F.array_contains("in", F.col("ts_code")).cast("double").alias("in_index"))
+    idxw = T("idxw").select("ts_code", "snapshot_date", "in_index")
+    month = F.trunc("snapshot_date", "month")
+    ends = idxw.select("snapshot_date", month.alias("m")).distinct()
+    # Each instrument lists the months from the first to the last, which meet their snapshot by equality.
+    span = ends.agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    if span["a"] is None:
+        return T("codes").limit(0).select("ts_code", F.lit(None).cast("date").alias("snapshot_date"), F.lit(0.0).alias("in_index"))
+    months = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.expr("interval 1 month"))
+    grid = T("codes").select("ts_code").distinct().withColumn("m", F.explode(months)).join(ends, "m")
+    return grid.join(idxw, ["ts_code", "snapshot_date"], "left").select("ts_code", "snapshot_date", F.coalesce("in_index", F.lit(0.0)).alias("in_index"))
 
 
 @query("a45_equal_weight_index", f"select trade_date, avg({sql_scaled('pct_chg')}) as mean_pct, count(*) as n from bars where vol >= 20 group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, correlation, quantise, safe_div
+from ..operators import ordering as O
 from ..operators import timeseries as S
 from .base import query, scaled, sql_q, sql_scaled
 
@@ -349,9 +350,7 @@ def w58(T):
 def k06(T):
     """A fiftieth of each sector, one row at least, first in the order of a hash."""
     j = T("preds").select(*KEYS).join(T("sector").select("ts_code", "sector"), "ts_code")
-    w = Window.partitionBy("sector")
-    k = F.row_number().over(w.orderBy(F.md5(F.concat("ts_code", F.col("trade_date").cast("string"))), *KEYS))
-    return j.withColumns({"k": k, "n": F.count("*").over(w)}).where("k <= greatest(1, n div 50)").select(*KEYS, "sector")
+    return O.first_share(j, "sector", F.concat("ts_code", F.col("trade_date").cast("string")), KEYS, F.expr("greatest(1, n div 50)")).select(*KEYS, "sector")
 
 
 @query("k07_uniform_sample", "select ts_code, trade_date, pred_a from preds order by md5(ts_code || cast(trade_date as varchar)), ts_code, trade_date limit 50")
@@ -431,7 +430,7 @@ def l06(T):
 def l14(T):
     """Fitted on all rows, then applied: the bounds and the moments are one row each."""
     bars = T("bars").where("pct_chg is not null").select(*KEYS, "pct_chg")
-    edges = bars.agg(F.percentile("pct_chg", F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+    edges = O.exact_quantiles(bars, "pct_chg", [0.01, 0.99], []).withColumnRenamed("quantiles", "e")
     c = bars.crossJoin(F.broadcast(edges)).select(*KEYS, F.greatest(F.least("pct_chg", F.col("e")[1]), F.col("e")[0]).alias("x"))
     return c.crossJoin(F.broadcast(c.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("d")))).select(*KEYS, quantise(safe_div(F.col("x") - F.col("m"), F.col("d")), 3).alias("z"))
 
@@ -440,7 +439,7 @@ def l14(T):
 def l15(T):
     """Clip and scale by the training rows' central nine tenths, as if normal."""
     bars = T("bars").where("pct_chg is not null").select(*KEYS, "pct_chg")
-    e = bars.where(F.col("trade_date") < TRAIN_TO).agg(F.percentile("pct_chg", F.array(F.lit(0.05), F.lit(0.95), F.lit(0.5))).alias("e"))
+    e = O.exact_quantiles(bars.where(F.col("trade_date") < TRAIN_TO), "pct_chg", [0.05, 0.95, 0.5], []).withColumnRenamed("quantiles", "e")
     low, high, mid = (F.col("e")[i] for i in range(3))
     return bars.crossJoin(F.broadcast(e)).select(*KEYS, quantise(safe_div(F.greatest(F.least("pct_chg", high), low) - mid, (high - low) / 3.92), 3).alias("z"))
 
