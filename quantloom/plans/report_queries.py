@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import quantise
+from ..functions.columns import quantise, safe_div
+from ..operators import intraday as I
 from ..operators import reports as R
+from ..operators import scoring as C
 from ..operators import technicals as X
-from .base import query, sql_q
+from ..operators import timeseries as S
+from .base import query, scaled, sql_q, sql_scaled
 
 KEYS = ["ts_code", "trade_date"]
 W = "over (partition by ts_code order by trade_date)"
@@ -78,8 +81,6 @@ _RANK = "rank() over (partition by {by} order by {c}) + (count(*) over (partitio
 
 
 def _horizons(T):
-    from ..operators import timeseries as S
-
     p = T("preds").select(*KEYS, "pred_a", "target")
     d = p.withColumns({f"target_d{h}": F.lead("target", h - 1).over(S.series()) for h in _HORIZONS})
     return R.by_horizon(d, {h: ("pred_a", f"target_d{h}") for h in _HORIZONS})
@@ -135,3 +136,96 @@ def a26_report(T):
     d = R.nav_report(T("equity"), rf=0.02)
     digits = {"total": 4, "cagr": 4, "cagr_bars": 4, "vol": 4, "sharpe": 3, "sharpe_rf": 3, "sortino": 3, "max_drawdown": 4, "best": 4, "worst": 4, "share_up": 4}
     return d.select("n", "peak", "trough", *[quantise(F.col(c), k).alias(c) for c, k in digits.items()])
+
+
+_TICKS = """k as (select symbol, time_bucket(interval '30 minutes', ts) as bar_at, arg_min(price, (ts, event_id)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as close, cast(count(*) as double) as volume, sum(cast(taker as double)) as taker_buy from tick where price is not null group by 1, 2),
+r as (select *, ln(close / lag(close) over (partition by symbol order by bar_at)) as r from k), a as (select *, cast(bar_at as date) as day, abs(r) as a, abs(r) * lag(abs(r)) over (partition by symbol order by bar_at) as bp,
+  case when count(r) over (partition by symbol order by bar_at rows between 287 preceding and current row) >= 50 then quantile_cont(abs(r), 5e-1) over (partition by symbol order by bar_at rows between 287 preceding and current row) end as med from r),
+d as (select symbol, day, count(*) as bars, count(r) as n, coalesce(sum(r * r), 0) as rv2, coalesce(sum(bp), 0) * pi() / 2 as bp2, sum(case when r > 0 then r * r else 0 end) as up2, sum(case when r < 0 then r * r else 0 end) as down2, case when count(r) > 2 and min(r) < max(r) then skewness(r) end as skew, case when count(r) > 3 and min(r) < max(r) then kurtosis(r) end as kurt,
+  sum(case when a > 4 * med then 1 else 0 end) as jump_count, max(high) as high, min(low) as low, arg_min(open, bar_at) as open, arg_max(close, bar_at) as close, max(close) as top, min(close) as bottom, sum(volume) as volume, sum(taker_buy) as buy, sum(volume * volume) as v2 from a group by 1, 2)"""
+_MICRO = {
+    "rv": "sqrt(rv2)", "bipower": "sqrt(bp2)", "jump": "sqrt(greatest(rv2 - bp2, 0))", "rv_up": "sqrt(up2)", "rv_down": "sqrt(down2)", "semi_skew": "(up2 - down2) / nullif(rv2, 0)", "skew": "skew", "kurt": "kurt", "range_pct": "(high - low) / nullif(open, 0)",
+    "efficiency": "abs(close - open) / nullif(high - low, 0)", "taker_ratio": "buy / nullif(volume, 0)", "imbalance": "(2 * buy - volume) / nullif(volume, 0)", "drawup": "top / nullif(open, 0) - 1", "drawdown": "bottom / nullif(open, 0) - 1", "concentration": "v2 * bars / nullif(volume * volume, 0)",
+}
+
+
+@query("a06_microstructure", f"with {_TICKS} select symbol, day, bars, cast(jump_count as bigint) as jump_count, {', '.join(f'{sql_q(v, 5)} as {n}' for n, v in _MICRO.items())} from d")
+def a06_micro(T):
+    """Half-hour bars of each symbol rolled up to days."""
+    ticks = T("tick").withColumn("ts", F.col("ts").cast("timestamp"))
+    d = I.daily_microstructure(I.tick_bars(ticks, "symbol", "ts", "30 minutes", "price", F.col("taker"), ["event_id"]), "symbol", "ts")
+    return d.select("symbol", "day", "bars", "jump_count", *[quantise(F.col(c), 5).alias(c) for c in _MICRO])
+
+
+_TREND = f"""m as (select *, {_full('avg', 'close', 20)} as m20, {_full('avg', 'close', 50)} as m50, {_full('avg', 'close', 200)} as m200, row_number() {W} as n, row_number() over (partition by ts_code order by trade_date desc) as back from a),
+p as (select *, case when close > m20 then 1 else 0 end + case when close > m50 then 1 else 0 end + case when close > m200 then 2 else 0 end + case when m20 > m50 then 1 else 0 end + case when m50 > m200 then 2 else 0 end as trend_points from m),
+s as (select *, case when n < 200 then 'neutral' when trend_points >= 6 and coalesce(adx > 25, false) then 'strong_uptrend' when trend_points >= 4 then 'uptrend' when trend_points <= 1 and coalesce(adx > 25, false) then 'strong_downtrend' when trend_points <= 2 then 'downtrend' else 'neutral' end as trend_state from p)"""
+# The strength that the trend reads, here the size of the last bar's change in tenths, so that SQL has it without a recursion.
+_A = "a as (select *, abs(pct_chg) * 1e1 as adx, close / nullif(lag(close) over (partition by ts_code order by trade_date), 0) - 1 as chg from bars)"
+
+
+def _strength(T):
+    return T("bars").withColumn("adx", F.abs("pct_chg") * 10.0)
+
+
+@query("w37_trend_state", f"with {_A}, {_TREND} select ts_code, trade_date, cast(trend_points as integer) as trend_points, trend_state from s")
+def w37_state(T):
+    """Points and state of each bar's trend on means of 20, 50 and 200 bars."""
+    return C.trend(_strength(T)).select(*KEYS, "trend_points", "trend_state")
+
+
+_BETWEEN = "over (partition by ts_code order by trade_date rows between 250 preceding and 21 preceding)"
+
+
+@query("w40_ranking", f"""with {_A}, {_TREND}, f as (select *, (lag(close, 21) {W} / nullif(lag(close, 251) {W}, 0) - 1) / nullif(stddev_samp(chg) {_BETWEEN} * sqrt(23e1), 0) as momentum, {_full('avg', 'amount', 20)} as amt, case when pct_chg >= 97e-1 then 5e-1 else 0e0 end as pattern from s),
+l as (select *, case trend_state when 'strong_uptrend' then 1e0 when 'uptrend' then 7e-1 when 'neutral' then 3e-1 when 'downtrend' then 0e0 else -5e-1 end as trend, least(amt / 2e4 / 10, 1e0) as liquidity from f where back = 1 and n >= 252 and amt >= 2e4),
+t as (select *, momentum * 4e-1 + trend * 3e-1 + pattern * 2e-1 + liquidity * 1e-1 as total, coalesce(momentum > 0 and trend_state in ('uptrend', 'strong_uptrend'), false) as good from l)
+select ts_code, trade_date, {sql_q('momentum')} as momentum, trend_state, trend, pattern, {sql_q('liquidity')} as liquidity, {sql_q('total')} as total, case when good then cast(row_number() over (partition by good order by total desc, ts_code) as integer) end as place from t""")
+def w40_ranking(T):
+    """Momentum, trend, pattern and liquidity of each instrument's last bar, weighed 40, 30, 20 and 10."""
+    d = C.composite(_strength(T), F.when(F.col("pct_chg") >= 9.7, 0.5).otherwise(0.0), 2e4)
+    return d.select(*KEYS, quantise(F.col("momentum")).alias("momentum"), "trend_state", "trend", "pattern", quantise(F.col("liquidity")).alias("liquidity"), quantise(F.col("total")).alias("total"), "place")
+
+
+@query("w53_horizon_trajectory", f"""with t as (select ts_code, trade_date, {', '.join(f"case when count(pct_chg) {_w(5 * h)} = {5 * h} then avg({sql_scaled('pct_chg')}) {_w(5 * h)} end as h{h}" for h in range(1, 6))} from bars)
+select ts_code, trade_date, {sql_q('(h1 + h2 + h3 + h4 + h5) / 5', 3)} as mean, {sql_q('case when h1 is not null and h2 is not null and h3 is not null and h4 is not null and h5 is not null then greatest(h1, h2, h3, h4, h5) end', 3)} as top, {sql_q('(2 * h5 + h4 - h2 - 2 * h1) / 1e1', 3)} as slope from t""")
+def w53_horizons(T):
+    """Forecasts for horizons 1 to 5, each from five times as many bars: mean, largest, slope."""
+    d = T("bars").withColumns({f"h{h}": S.rolling(F.avg, scaled("pct_chg"), 5 * h) for h in range(1, 6)})
+    return d.select(*KEYS, *[quantise(v, 3).alias(n) for n, v in C.trajectory([f"h{h}" for h in range(1, 6)]).items()])
+
+
+_FEATURES = ("pct_chg", "vol", "amount", "close", "gap")
+
+
+@query("a50_refit_stability", "with x as (select year(b.trade_date) as refit, b.pct_chg, b.vol, b.amount, b.close, b.open / nullif(b.pre_close, 0) - 1 as gap, p.target from bars b join preds p on p.ts_code = b.ts_code and p.trade_date = b.trade_date where p.target is not null),\n"
+       "i as (" + " union all ".join(f"select refit, '{c}' as feature, abs({sql_q(f'corr({c}, target)', 6)}) as importance from x group by 1" for c in _FEATURES) + "),\n"
+       f"k as (select *, case when row_number() over (partition by refit order by importance desc, feature) <= 2 then 1 else 0 end as top from i) select feature, count(*) as refits, {sql_q('avg(importance)', 5)} as mean, {sql_q('stddev_pop(importance)', 5)} as std, cast(sum(top) as bigint) as top_count, avg(top) as top_share from k group by 1")
+def a50_stability(T):
+    """Importance of features over yearly refits: size of each one's correlation with the target."""
+    from ..functions.columns import correlation
+
+    x = T("bars").join(T("preds").select(*KEYS, "target"), KEYS).where("target is not null").withColumns({"gap": safe_div(F.col("open"), F.col("pre_close")) - 1, "refit": F.year("trade_date")})
+    fitted = x.groupBy("refit").agg(*[F.abs(quantise(correlation(c, "target"), 6)).alias(c) for c in _FEATURES])
+    long = fitted.select("refit", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in _FEATURES])).alias("i")).select("refit", "i.feature", "i.importance")
+    d = C.stability(long, 2)
+    return d.select("feature", "refits", quantise(F.col("mean"), 5).alias("mean"), quantise(F.col("std"), 5).alias("std"), "top_count", "top_share")
+
+
+_FACTORS = ("size", "flow", "gap")
+
+
+@query("a25_factor_attribution", f"""with e as (select trade_date, avg({sql_scaled('close', 2)}) / 1e4 as size, avg({sql_scaled('pct_chg')}) / 1e6 as flow, avg({sql_scaled('(open / nullif(pre_close, 0) - 1)')}) / 1e4 as gap from bars where day(trade_date) % 3 <> 0 group by 1),
+f as (select trade_date, stddev_pop(pct_chg) / 1e2 as size, avg({sql_scaled('pct_chg')}) / 1e5 as flow, max(pct_chg) / 1e2 as gap from bars where day(trade_date) % 4 <> 0 group by 1),
+j as (select q.trade_date, nav, invested, {', '.join(f'last_value(e.{c} ignore nulls) over (order by q.trade_date) as e_{c}, last_value(f.{c} ignore nulls) over (order by q.trade_date) as f_{c}' for c in _FACTORS)} from equity q left join e on e.trade_date = q.trade_date left join f on f.trade_date = q.trade_date),
+c as (select trade_date, nav / nullif(lag(nav) over (order by trade_date), 0) - 1 as own, {', '.join(f'coalesce(lag(e_{c}) over (order by trade_date) * f_{c} / 100 * greatest(least(invested / nullif(nav, 0), 1e0), 0e0), 0) as {c}' for c in _FACTORS)} from j),
+a as (select *, coalesce(own - (size + flow + gap), 0) as alpha from c)
+select trade_date, {', '.join(f'{sql_q(c, 6)} as {c}' for c in (*_FACTORS, 'alpha'))}, {', '.join(f"{sql_q(f'exp(sum(ln(1 + coalesce({c}, 0))) over (order by trade_date rows between unbounded preceding and current row)) - 1', 5)} as cum_{n}" for n, c in [*((x, x) for x in (*_FACTORS, 'alpha')), ('total', 'own')])} from a""")
+def a25_factors(T):
+    """Three factors' contributions to the equity curve, alpha, and all of them compounded."""
+    bars = T("bars")
+    mean = lambda x, k=4: F.avg(scaled(x, k))
+    e = bars.where(F.dayofmonth("trade_date") % 3 != 0).groupBy("trade_date").agg((mean("close", 2) / 1e4).alias("size"), (mean("pct_chg") / 1e6).alias("flow"), (mean(safe_div(F.col("open"), F.col("pre_close")) - 1) / 1e4).alias("gap"))
+    f = bars.where(F.dayofmonth("trade_date") % 4 != 0).groupBy("trade_date").agg((F.stddev_pop("pct_chg") / 100).alias("size"), (mean("pct_chg") / 1e5).alias("flow"), (F.max("pct_chg") / 100).alias("gap"))
+    d = C.attribution(e, f, T("equity"), list(_FACTORS))
+    return d.select("trade_date", *[quantise(F.col(c), 6).alias(c) for c in (*_FACTORS, "alpha")], *[quantise(F.col(f"cum_{c}"), 5).alias(f"cum_{c}") for c in (*_FACTORS, "alpha", "total")])
