@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,25 @@ def tidy(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def released(run):
+    """``run``, a function of batches, whose worker hands memory that it has freed back to the system when a partition ends.
+
+    Workers live on from task to task; without it each keeps its largest state, beside those of later stages.
+    """
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return bounded
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table, marked for broadcast if it has at most ``limit`` rows.
 

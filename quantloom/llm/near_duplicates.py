@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, shuffle_parts, small, tidy, unused, written
+from .common import cut, lean, released, shuffle_parts, small, tidy, unused, written
 from .components import components
 from .vector import BLOCK, blocks, mix, runs, sliced, words_of
 
@@ -109,7 +109,7 @@ def names(docs: DataFrame) -> DataFrame:
         for part in sliced(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_digest(t.as_py()) for t in part.column(1)], pa.binary())], ["doc_id", "name"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, name binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(released(run), "doc_id long, name binary")
 
 
 def _ranges(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -220,10 +220,10 @@ def index(docs: DataFrame) -> DataFrame:
             bucket, smallest = k[-1], centre[-1]
 
     shape = "k long, a long, b long"
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(emit, shape)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(released(emit), shape)
     # Rows that are matched already needn't come to their bucket: they are dealt by document.
     place = F.when((F.col("k") >= 0) & (F.col("k") < MATCHED), F.col("k")).otherwise(F.col("a"))
-    return rows.repartition(shuffle_parts(docs), place).sortWithinPartitions("k", "a").mapInArrow(meet, shape)
+    return rows.repartition(shuffle_parts(docs), place).sortWithinPartitions("k", "a").mapInArrow(released(meet), shape)
 
 
 def _band(k: str = "k"):
@@ -275,7 +275,7 @@ def packed_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = small(cut(nodes.distinct().withColumnRenamed("node", "doc_id")))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "node long, n long, tokens binary").dropDuplicates(["node", "tokens"])
+    return rows.mapInArrow(released(run), "node long, n long, tokens binary").dropDuplicates(["node", "tokens"])
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left, right = sets.toDF("a", "sa", "ta"), sets.toDF("b", "sb", "tb")
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").where(_fit()).select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(released(run), "a long, b long")
 
 
 def with_smallest(rows: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def with_tokens_elsewhere(rows: DataFrame, sets: DataFrame) -> DataFrame:
             yield _batch({"node": np.repeat(part.column(0).to_numpy(), n), "label": np.repeat(part.column(1).to_numpy(), n), "n": np.repeat(n, n), "token": h.view(np.int64)})
 
     nodes = rows.select("node", "label").distinct()
-    tokens = nodes.join(sets, "node").select("node", "label", "tokens").mapInArrow(run, "node long, label long, n long, token long")
+    tokens = nodes.join(sets, "node").select("node", "label", "tokens").mapInArrow(released(run), "node long, label long, n long, token long")
     tokens = written(tokens)
     shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     good = tokens.join(shared, "token").groupBy("node").agg(F.count("*").alias("found"), F.min("n").alias("n")).where(DEN * F.col("found") >= NUM * F.col("n"))
@@ -402,7 +402,7 @@ def in_blocks(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
         dealt = sized.join(total, ["kind", "name"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         return dealt.groupBy("kind", "name", "block").agg(F.collect_list(F.struct("node", "label", "tokens")).alias(to)).drop("block")
 
-    return packs(left, "x").join(packs(right, "y"), ["kind", "name"]).select("x", "y").mapInArrow(run, "a long, b long")
+    return packs(left, "x").join(packs(right, "y"), ["kind", "name"]).select("x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def remaining(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -446,7 +446,7 @@ def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
     ends = small(cut(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ends, "doc_id", "left_semi").distinct())
     joined = links.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(released(run), "a long, b long")
 
 
 def links_of(docs: DataFrame, met: DataFrame, given: DataFrame) -> DataFrame:

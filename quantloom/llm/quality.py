@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, released
 from .vector import BLOCK, blocks, sliced, words_of
 
 PASSAGE = 64
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
     lean(docs.sparkSession)
     rows = fit_rows(docs, labels, label, limit).select(F.col("text").cast("binary"), F.col("target").cast("double"))
-    found = rows.mapInArrow(run, "x binary, target double").toArrow().sort_by([("target", "ascending"), ("x", "ascending")])
+    found = rows.mapInArrow(released(run), "x binary, target double").toArrow().sort_by([("target", "ascending"), ("x", "ascending")])
     if not found.num_rows:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in found.column("x").to_pylist()]
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "score", "top_passage"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double", "top_passage long"]))
+    return rows.mapInArrow(released(run), ", ".join([*fields, "score double", "top_passage long"]))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

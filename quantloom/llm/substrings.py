@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, remove, shuffle_parts, small, stored, tidy, word_count
+from .common import cut, lean, released, remove, shuffle_parts, small, stored, tidy, word_count
 from .near_duplicates import _batch, _texts
 from .vector import blocks, mix, runs, sliced, words_of
 
@@ -169,7 +169,7 @@ def anchors(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     found, paths = None, []
     for part in range(PASSES):
-        one, path = stored(texts.mapInArrow(emit(part), shape).repartition(shuffle_parts(docs), "p").mapInArrow(meet, shape))
+        one, path = stored(texts.mapInArrow(released(emit(part)), shape).repartition(shuffle_parts(docs), "p").mapInArrow(released(meet), shape))
         found = one if found is None else found.unionByName(one)
         paths.append(path)
         tidy(docs.sparkSession)
@@ -277,7 +277,7 @@ def chains(found: DataFrame) -> DataFrame:
             ids = np.array(ids, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(parts, pa.binary())], ["a", "b", "parts"])
 
-    return found.repartition(shuffle_parts(found), "p").mapInArrow(run, "a long, b long, parts binary")
+    return found.repartition(shuffle_parts(found), "p").mapInArrow(released(run), "a long, b long, parts binary")
 
 
 def chains_of(packed: bytes) -> Iterator[np.ndarray]:
@@ -468,7 +468,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 wide = np.array(rows, np.int64).reshape(-1, 5)
                 yield _batch(dict(zip(("doc_id", "low", "high", "n_equal", "other"), wide.T, strict=True)))
 
-    aligned = joined.select("a", "b", "parts", "ta", "tb").mapInArrow(run, "doc_id long, low long, high long, n_equal long, other long")
+    aligned = joined.select("a", "b", "parts", "ta", "tb").mapInArrow(released(run), "doc_id long, low long, high long, n_equal long, other long")
     w = Window.partitionBy("doc_id").orderBy("low", "high", "other", "n_equal")
     fresh = F.coalesce(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)) + JOIN_GAP, F.lit(True))
     island = aligned.withColumn("new", fresh.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
