@@ -94,19 +94,19 @@ def k03(T):
     return d.select("ts_code", "trade_date", quantise(safe_div(units, F.sum(units).over(Window.partitionBy("trade_date")))).alias("weight"))
 
 
-@query("a26_nav_metrics", f"""with r as (select trade_date, nav, nav / lag(nav) over (order by trade_date) - 1 as r, nav / max(nav) over (order by trade_date rows between unbounded preceding and current row) - 1 as dd from equity)
-select count(*) as n, {sql_q('max_by(nav, trade_date) / min_by(nav, trade_date) - 1')} as total, {sql_q('stddev_samp(r) * sqrt(252e0)')} as vol, {sql_q('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252e0)', 3)} as sharpe, {sql_q('min(dd)')} as max_drawdown from r""")
+@query("a26_nav_metrics", f"""with r as (select trade_date, nav, nav / nullif(lag(nav) over (order by trade_date), 0) - 1 as r, nav / nullif(max(nav) over (order by trade_date rows between unbounded preceding and current row), 0) - 1 as dd from equity)
+select count(*) as n, {sql_q('max_by(nav, trade_date) / nullif(min_by(nav, trade_date), 0) - 1')} as total, {sql_q('stddev_samp(r) * sqrt(252e0)')} as vol, {sql_q('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252e0)', 3)} as sharpe, {sql_q('min(dd)')} as max_drawdown from r""")
 def a26(T):
     w = Window.orderBy("trade_date")
-    d = T("equity").withColumns({"r": F.col("nav") / F.lag("nav").over(w) - 1, "dd": F.col("nav") / F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1})
-    return d.agg(F.count("*").alias("n"), quantise(F.max_by("nav", "trade_date") / F.min_by("nav", "trade_date") - 1).alias("total"), quantise(F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), quantise(safe_div(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(252.0)), 3).alias("sharpe"), quantise(F.min("dd")).alias("max_drawdown"))
+    d = T("equity").withColumns({"r": safe_div(F.col("nav"), F.lag("nav").over(w)) - 1, "dd": safe_div(F.col("nav"), F.max("nav").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1})
+    return d.agg(F.count("*").alias("n"), quantise(safe_div(F.max_by("nav", "trade_date"), F.min_by("nav", "trade_date")) - 1).alias("total"), quantise(F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), quantise(safe_div(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(252.0)), 3).alias("sharpe"), quantise(F.min("dd")).alias("max_drawdown"))
 
 
-@query("a28_trade_summary", f"select count(*) as n, avg(case when ret > 0 then 1 else 0 end) as hit_rate, avg({sql_scaled('ret', 3)}) as mean_ret, quantile_cont(cast(datediff('day', entry_date, exit_date) as double), 5e-1) as median_hold, {sql_q('sum(case when pnl > 0 then ' + sql_scaled('pnl', 2) + ' else 0 end) / cast(0 - sum(case when pnl < 0 then ' + sql_scaled('pnl', 2) + ' else 0 end) as double)')} as profit_factor from trades")
+@query("a28_trade_summary", f"select count(*) as n, avg(case when ret > 0 then 1 else 0 end) as hit_rate, avg({sql_scaled('ret', 3)}) as mean_ret, quantile_cont(cast(datediff('day', entry_date, exit_date) as double), 5e-1) as median_hold, {sql_q('sum(case when pnl > 0 then ' + sql_scaled('pnl', 2) + ' else 0 end) / nullif(cast(0 - sum(case when pnl < 0 then ' + sql_scaled('pnl', 2) + ' else 0 end) as double), 0)')} as profit_factor from trades")
 def a28(T):
     cents = scaled("pnl", 2)
     win, lose = F.sum(F.when(F.col("pnl") > 0, cents).otherwise(0)), F.sum(F.when(F.col("pnl") < 0, cents).otherwise(0))
-    return T("trades").agg(F.count("*").alias("n"), F.avg(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("hit_rate"), F.avg(scaled("ret", 3)).alias("mean_ret"), F.percentile(F.datediff("exit_date", "entry_date"), F.lit(0.5)).alias("median_hold"), quantise(win / (-lose).cast("double")).alias("profit_factor"))
+    return T("trades").agg(F.count("*").alias("n"), F.avg(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("hit_rate"), F.avg(scaled("ret", 3)).alias("mean_ret"), F.percentile(F.datediff("exit_date", "entry_date"), F.lit(0.5)).alias("median_hold"), quantise(safe_div(win, -lose)).alias("profit_factor"))
 
 
 @query("a29_per_stock", f"select ts_code, count(*) as n, sum({sql_scaled('pnl', 2)}) as pnl_cents, min(entry_date) as first_entry from trades group by 1")

@@ -124,9 +124,9 @@ def l01(T):
     return L.forward_returns(d, "ex", (1, 5)).select(*KEYS, "target_d1", "target_d5")
 
 
-@query("l02_cumulative", f"select ts_code, trade_date, {sql_q('lead(close, 5) over (partition by ts_code order by trade_date) / close - 1')} as fwd_5 from bars")
+@query("l02_cumulative", f"select ts_code, trade_date, {sql_q('lead(close, 5) over (partition by ts_code order by trade_date) / nullif(close, 0) - 1')} as fwd_5 from bars")
 def l02(T):
-    return T("bars").select(*KEYS, quantise(F.lead("close", 5).over(S.series()) / F.col("close") - 1).alias("fwd_5"))
+    return T("bars").select(*KEYS, quantise(safe_div(F.lead("close", 5).over(S.series()), F.col("close")) - 1).alias("fwd_5"))
 
 
 @query("l03_buckets", "select bucket, count(*) as n from (select case when pct_chg < -5 then 0 when pct_chg < -2 then 1 when pct_chg < 0 then 2 when pct_chg < 2 then 3 when pct_chg < 5 then 4 else 5 end as bucket from bars) x group by 1")

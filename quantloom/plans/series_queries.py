@@ -212,10 +212,10 @@ def w33(T):
     return S.fill_forward(T("basic"), "pe_ttm").select(*KEYS, "pe_ttm")
 
 
-@query("w38_momentum_12_1", f"select ts_code, trade_date, {sql_q(f'lag(close, 21) {W} / lag(close, 252) {W} - 1')} as momentum_12_1 from bars")
+@query("w38_momentum_12_1", f"select ts_code, trade_date, {sql_q(f'lag(close, 21) {W} / nullif(lag(close, 252) {W}, 0) - 1')} as momentum_12_1 from bars")
 def w38(T):
     w = S.series()
-    return T("bars").select(*KEYS, quantise(F.lag("close", 21).over(w) / F.lag("close", 252).over(w) - 1).alias("momentum_12_1"))
+    return T("bars").select(*KEYS, quantise(safe_div(F.lag("close", 21).over(w), F.lag("close", 252).over(w)) - 1).alias("momentum_12_1"))
 
 
 @query("w43_limit_flags", """select ts_code, trade_date, abs(close - up) <= 5e-3 as at_up, abs(close - down) <= 5e-3 as at_down, high = low and abs(close - up) <= 5e-3 as one_line,
@@ -229,10 +229,10 @@ def w43(T):
                     (up & (F.abs(F.col("open") - F.col("up_limit")) <= 0.005) & (F.col("low") < F.col("up_limit") - 0.005)).alias("t_shape"))
 
 
-@query("w49_bar_shape", f"select ts_code, trade_date, {sql_q('(close - open) / open')} as body, {sql_q('(high - low) / open')} as range, {sql_q('(high - greatest(open, close)) / open')} as upper, {sql_q('open / pre_close - 1')} as gap from bars")
+@query("w49_bar_shape", f"select ts_code, trade_date, {sql_q('(close - open) / nullif(open, 0)')} as body, {sql_q('(high - low) / nullif(open, 0)')} as range, {sql_q('(high - greatest(open, close)) / nullif(open, 0)')} as upper, {sql_q('open / nullif(pre_close, 0) - 1')} as gap from bars")
 def w49(T):
     o, c = F.col("open"), F.col("close")
-    return T("bars").select(*KEYS, quantise((c - o) / o).alias("body"), quantise((F.col("high") - F.col("low")) / o).alias("range"), quantise((F.col("high") - F.greatest(o, c)) / o).alias("upper"), quantise(o / F.col("pre_close") - 1).alias("gap"))
+    return T("bars").select(*KEYS, quantise(safe_div(c - o, o)).alias("body"), quantise(safe_div(F.col("high") - F.col("low"), o)).alias("range"), quantise(safe_div(F.col("high") - F.greatest(o, c), o)).alias("upper"), quantise(safe_div(o, F.col("pre_close")) - 1).alias("gap"))
 
 
 @query("p05_board", "select case when ts_code like '688%' then 'STAR' when ts_code like '300%' then 'ChiNext' when ts_code like '8%' or ts_code like '4%' then 'BSE' else 'Main' end as board, count(*) as n from bars group by 1")
