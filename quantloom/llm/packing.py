@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, released
 from .vector import blocks, words_of
 
 SIZE = 2048
@@ -67,6 +67,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.limit = REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -116,7 +117,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text and after the last); ``after`` is an id put after each text."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > self.limit:
             self.forget()
         w = words_of([self.tidy(t) for t in texts])
         data = w.data.tobytes()
@@ -185,24 +186,28 @@ class BestFit:
         return bin_id, self.size - free
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_bins: int = OPEN_BINS, separator: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_bins: int = OPEN_BINS, separator: int = 0, remembered: int = REMEMBERED, block: int = BLOCK) -> DataFrame:
     """One row per piece of every document's ids and a separator, with its place in a sequence of ``size`` ids.
 
     Null and empty texts are the separator alone.  Only documents longer than
     ``size`` are cut.  Each task packs the rows of its partition in their
     order and holds ``open_bins`` bins and one batch, so memory is bounded and
     a lost task repeats with the same numbers.  Repeated rows are packed each.
+    A worker remembers the ids of ``remembered`` words and encodes ``block`` bytes of texts together;
+    less of either takes less memory and more time, and gives the same ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, bins = encoder_of(tokenizer), BestFit(TaskContext.get().partitionId() * STRIDE, size, open_bins)
+        encoder = encoder_of(tokenizer)
+        encoder.limit = remembered
+        bins = BestFit(TaskContext.get().partitionId() * STRIDE, size, open_bins)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         types = [pa.int32() if n == "piece" else pa.int64() for n in names]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            for low, high in blocks(texts, BLOCK):
+            for low, high in blocks(texts, block):
                 rows = []
                 tokens, bounds = encoder.encode(texts[low:high], separator)
                 bounds = bounds.tolist()
@@ -213,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_bins: int = OPE
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     lean(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

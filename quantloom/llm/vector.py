@@ -36,6 +36,11 @@ def _power(n: int) -> list[np.ndarray]:
     return [_powers[0][:n], _powers[1]]
 
 
+def forget() -> None:
+    """Drop the powers, which are as long as the longest block so far."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 @dataclass
 class Words:
     """Words of a list of texts; ``first[d]`` to ``first[d + 1]`` are those of text d."""
