@@ -86,7 +86,7 @@ def _horizons(T):
     return R.by_horizon(d, {h: ("pred_a", f"target_d{h}") for h in _HORIZONS})
 
 
-@query("a17_horizons", f"""with {_TARGETS}, {_LONG}, r as (select *, {_RANK.format(by='horizon', c='pred')} as rp, {_RANK.format(by='horizon', c='target')} as rt from h where pred is not null and target is not null)
+@query("a17_real_horizons", f"""with {_TARGETS}, {_LONG}, r as (select *, {_RANK.format(by='horizon', c='pred')} as rp, {_RANK.format(by='horizon', c='target')} as rt from h where pred is not null and target is not null)
 select horizon, count(*) as n, {sql_q('corr(rp, rt)')} as ic, {sql_q('avg(abs(pred - target))')} as mae, {sql_q('sqrt(avg((pred - target) * (pred - target)))')} as rmse, avg(case when sign(pred) = sign(target) then 1 else 0 end) as hit_rate from r group by 1""")
 def a17_horizons(T):
     """Rank IC, errors and hit rate per horizon, on the targets of each."""
