@@ -190,5 +190,7 @@ def p13(T):
 
 @query("p14_band", f"select ts_code, trade_date, {sql_q('(up_limit - (up_limit + down_limit) / 2) / ((up_limit + down_limit) / 2) * 1e2', 3)} as band_pct from limits")
 def p14(T):
+    """Half the band in percent of its middle; NaN, as in the twin, where a price is so low that both limits round to 0."""
     mid = (F.col("up_limit") + F.col("down_limit")) / 2
-    return T("limits").select(*KEYS, quantise((F.col("up_limit") - mid) / mid * F.lit(100.0), 3).alias("band_pct"))
+    share = quantise(safe_div(F.col("up_limit") - mid, mid) * F.lit(100.0), 3)
+    return T("limits").select(*KEYS, F.when(mid == 0, F.lit(float("nan"))).otherwise(share).alias("band_pct"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from quantloom.plans import registry
+import numpy as np
+
+from quantloom.plans import registry, study_queries
 
 
 def test_folds_read_a_kept_panel(spark, sf):
     for name in ("l17_out_of_fold", "l17_fold_metrics"):
         assert not [f for f in registry.QUERIES[name](spark, sf).inputFiles() if "lineitem" in f]
+
+
+def test_band_of_limits_that_round_to_nothing(spark):
+    rows = spark.createDataFrame([("a", 0.0, 0.0), ("b", 11.0, 9.0), ("c", None, 9.0)], "ts_code string, up_limit double, down_limit double").selectExpr("*", "date '2020-01-01' as trade_date")
+    got = {r["ts_code"]: r["band_pct"] for r in study_queries.p14(lambda t: rows).collect()}
+    assert np.isnan(got["a"]) and got["b"] == 10.0 and got["c"] is None
