@@ -183,13 +183,18 @@ _D = f"(sqrt(cast(30 * sum(px * px) {_R} - sum(px) {_R} * sum(px) {_R} as double
 
 @query("w27_rolling_corr", f"with p as (select ts_code, trade_date, {sql_scaled('close', 2)} as px, vol from bars) select ts_code, trade_date, {sql_q(f'case when count(px) {_R} = 30 then {_N} / nullif({_D}, 0) end', 3)} as corr_30 from p")
 def w27(T):
-    """Correlation from exact integer moments; null where a side doesn't vary."""
+    """Correlation from exact integer moments; null where a side doesn't vary.
+
+    Products are added as longs in two halves and put together as decimals: 900 squares of a high price don't fit a long.
+    """
     w = S.last(30)
-    s = lambda c: F.sum(c).over(w)
-    x, y = F.col("px"), F.col("vol")
+    wide = lambda c: c.cast("decimal(19,0)")
+    s = lambda c: wide(F.sum(c).over(w))
+    twice = lambda a, b: s(F.shiftright(a * b, 31)) * F.lit(1 << 31).cast("decimal(10,0)") + s((a * b).bitwiseAND(F.lit((1 << 31) - 1)))
+    x, y = F.col("px"), F.col("vol").cast("long")
     d = T("bars").withColumn("px", scaled("close", 2))
-    top = (30 * s(x * y) - s(x) * s(y)).cast("double")
-    low = F.sqrt((30 * s(x * x) - s(x) * s(x)).cast("double")) * F.sqrt((30 * s(y * y) - s(y) * s(y)).cast("double"))
+    top = (30 * twice(x, y) - s(x) * s(y)).cast("double")
+    low = F.sqrt((30 * twice(x, x) - s(x) * s(x)).cast("double")) * F.sqrt((30 * twice(y, y) - s(y) * s(y)).cast("double"))
     return d.select(*KEYS, quantise(F.when(F.count(x).over(w) == 30, safe_div(top, low)), 3).alias("corr_30"))
 
 

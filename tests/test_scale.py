@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 import numpy as np
 
-from quantloom.plans import registry, study_queries
+from quantloom.plans import registry, series_queries, study_queries
 
 
 def test_folds_read_a_kept_panel(spark, sf):
@@ -16,3 +18,13 @@ def test_band_of_limits_that_round_to_nothing(spark):
     rows = spark.createDataFrame([("a", 0.0, 0.0), ("b", 11.0, 9.0), ("c", None, 9.0)], "ts_code string, up_limit double, down_limit double").selectExpr("*", "date '2020-01-01' as trade_date")
     got = {r["ts_code"]: r["band_pct"] for r in study_queries.p14(lambda t: rows).collect()}
     assert np.isnan(got["a"]) and got["b"] == 10.0 and got["c"] is None
+
+
+def test_correlation_of_high_prices(spark):
+    close = [2e7 + 1e5 * (k * k % 17) for k in range(40)]
+    vol = [50 + k * 7 % 11 for k in range(40)]
+    rows = spark.createDataFrame([("a", date(2020, 1, 1) + timedelta(k), close[k], vol[k]) for k in range(40)], "ts_code string, trade_date date, close double, vol bigint")
+    got = [r["corr_30"] for r in series_queries.w27(lambda t: rows).orderBy("trade_date").collect()]
+    assert got[:29] == [None] * 29
+    for k in range(29, 40):
+        assert abs(got[k] - np.corrcoef(close[k - 29 : k + 1], vol[k - 29 : k + 1])[0, 1]) < 6e-4
