@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 import numpy as np
 
+from quantloom.operators import ordering
 from quantloom.plans import registry, series_queries, study_queries
 
 
@@ -28,3 +29,8 @@ def test_correlation_of_high_prices(spark):
     assert got[:29] == [None] * 29
     for k in range(29, 40):
         assert abs(got[k] - np.corrcoef(close[k - 29 : k + 1], vol[k - 29 : k + 1])[0, 1]) < 6e-4
+
+
+def test_spread_grows_with_rows(spark):
+    d = ordering.spread(spark.range(1000).selectExpr("id % 50 as k", "id"), "k", rows=100)
+    assert d.rdd.getNumPartitions() == 10 and d.count() == 1000
