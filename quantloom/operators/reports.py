@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, safe_div
-from .cross_section import average_rank, quantile_bins, rank_ic
+from ..streaming.jobs import kept
+from .cross_section import quantile_bins, rank_ic
 from .ensembles import pair
+from .ordering import average_ranks
 
 
 def by_horizon(df: DataFrame, horizons: dict[int, tuple[str, str]], day: str = "trade_date") -> DataFrame:
@@ -18,9 +20,13 @@ def by_horizon(df: DataFrame, horizons: dict[int, tuple[str, str]], day: str = "
 
 
 def horizon_metrics(rows: DataFrame, by: str = "horizon") -> DataFrame:
-    """(horizon, n, ic, mae, rmse, hit_rate): ranks of the whole sample, absolute and squared errors, equal signs."""
+    """(horizon, n, ic, mae, rmse, hit_rate): ranks of the whole sample, absolute and squared errors, equal signs.
+
+    Horizons are few and large: values are counted and ranked over all tasks, no task sorts a horizon.
+    """
     e = F.col("pred") - F.col("target")
-    ranked = average_rank(average_rank(rows, "pred", [by], "_p"), "target", [by], "_t")
+    rows = kept(rows)
+    ranked = average_ranks(average_ranks(rows, "pred", [by], "_p"), "target", [by], "_t")
     return ranked.groupBy(by).agg(
         F.count("*").alias("n"), correlation("_p", "_t").alias("ic"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg((F.signum("pred") == F.signum("target")).cast("int")).alias("hit_rate"),

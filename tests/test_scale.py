@@ -31,6 +31,14 @@ def test_correlation_of_high_prices(spark):
         assert abs(got[k] - np.corrcoef(close[k - 29 : k + 1], vol[k - 29 : k + 1])[0, 1]) < 6e-4
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spread_grows_with_rows(spark):
     d = ordering.spread(spark.range(1000).selectExpr("id % 50 as k", "id"), "k", rows=100)
     assert d.rdd.getNumPartitions() == 10 and d.count() == 1000
+
+
+def test_no_task_sorts_a_horizon(spark, sf):
+    assert "rank(" not in plan(registry.QUERIES["a17_real_horizons"](spark, sf))
