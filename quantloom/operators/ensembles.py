@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation
+from .ordering import spread
 from .timeseries import KEY, TIME, series
 
 
@@ -30,9 +31,9 @@ def trailing_ic(df: DataFrame, models: dict[str, tuple[str, str, int]], lookback
 
     It spans the last ``lookback`` complete pairs whose target, h rows ahead,
     lies before the bar; rows without a complete pair take no place in it.  Null
-    with fewer than ``least`` pairs, or where a side doesn't vary.
+    with fewer than ``least`` pairs, or where a side doesn't vary.  All windows share one exchange by series.
     """
-    out = df
+    out = spread(df, KEY)
     for name, (x, y, h) in models.items():
         whole = pair(F.col(x), F.col(y))
         w = Window.partitionBy(KEY, "_whole").orderBy(TIME).rowsBetween(-(lookback - 1), 0)
@@ -61,6 +62,28 @@ def blend(predictions: list[str], ics: list[str], method: str, top_k: int = 1, f
     largest in size among the models that predict, ties in the order given.  Where no model has a correlation yet, all
     count alike.  Missing predictions don't count; without any weight the blend is null.
     """
+    return _weighed(_weights(predictions, ics, method, top_k, floor), predictions)
+
+
+def with_blends(df: DataFrame, predictions: list[str], ics: list[str], wanted: dict[str, tuple[str, int, float]]) -> DataFrame:
+    """``df`` with a column per blend {name: (method, top_k, floor)}, as ``blend`` gives them.
+
+    Weights are columns before they are used, twice each: so the compiled methods stay small enough for the JVM to optimise.
+    """
+    held = {n: [f"_{n}_{k}" for k in range(len(predictions))] for n in wanted}
+    weighed = df.withColumns({c: w for n, how in wanted.items() for c, w in zip(held[n], _weights(predictions, ics, *how), strict=True)})
+    done = weighed.withColumns({n: _weighed([F.col(c) for c in cs], predictions) for n, cs in held.items()})
+    return done.drop(*[c for cs in held.values() for c in cs])
+
+
+def _weighed(weights: list[Column], predictions: list[str]) -> Column:
+    total = reduce(lambda a, b: a + b, weights)
+    value = reduce(lambda a, b: a + b, [w * F.coalesce(F.col(x), F.lit(0.0)) for w, x in zip(weights, predictions, strict=True)])
+    return F.when(total > 0, value / total)
+
+
+def _weights(predictions: list[str], ics: list[str], method: str, top_k: int, floor: float) -> list[Column]:
+    """The weight of each prediction in a blend, 0 where it is missing."""
     p = [F.col(c) for c in predictions]
     size = [F.abs(F.col(c)) for c in ics]
     none = reduce(lambda a, b: a & b, [c.isNull() for c in size])
@@ -78,10 +101,7 @@ def blend(predictions: list[str], ics: list[str], method: str, top_k: int = 1, f
         weights = [F.when(nobody | (a & (n < top_k)), 1.0).otherwise(0.0) for a, n in zip(able, place, strict=True)]
     else:
         raise ValueError(f"no such blend: {method}")
-    weights = [F.when(x.isNull(), 0.0).otherwise(w) for w, x in zip(weights, p, strict=True)]
-    total = reduce(lambda a, b: a + b, weights)
-    value = reduce(lambda a, b: a + b, [w * F.coalesce(x, F.lit(0.0)) for w, x in zip(weights, p, strict=True)])
-    return F.when(total > 0, value / total)
+    return [F.when(x.isNull(), 0.0).otherwise(w) for w, x in zip(weights, p, strict=True)]
 
 
 def ridge_stack(df: DataFrame, predictions: list[str], target: str, h: int = 1, least: int = 80, every: int = 15, alpha: float = 5.0) -> DataFrame:

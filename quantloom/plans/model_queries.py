@@ -65,7 +65,8 @@ from t""")
 def w30(T):
     d = E.trailing_ic(gappy(T), MODELS, LOOKBACK, LEAST)
     p, ics = ["pred_a", "pred_b", "pred_c"], list(MODELS)
-    return d.select(*KEYS, *[quantise(E.blend(p, ics, m, 1, 0.1), 6).alias(n) for n, m in (("mean", "mean"), ("ic_weighted", "ic_weighted"), ("ic_filter", "ic_filter"), ("top_1", "top_k"))])
+    wanted = {"mean": "mean", "ic_weighted": "ic_weighted", "ic_filter": "ic_filter", "top_1": "top_k"}
+    return E.with_blends(d, p, ics, {n: (m, 1, 0.1) for n, m in wanted.items()}).select(*KEYS, *[quantise(F.col(n), 6).alias(n) for n in wanted])
 
 
 def _det(rows: list[list[str]]) -> str:

@@ -35,6 +35,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blends_compile_to_small_methods(spark, sf):
+    """The JVM never compiles methods of 8,000 bytes or more."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = registry.QUERIES["w30_blends"](spark, sf)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_trailing_windows_share_one_exchange(spark, sf):
+    for name in ("w29_trailing_ic", "w31_rank_average"):
+        text = plan(registry.QUERIES[name](spark, sf))
+        assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 1
+
+
 def test_spread_grows_with_rows(spark):
     d = ordering.spread(spark.range(1000).selectExpr("id % 50 as k", "id"), "k", rows=100)
     assert d.rdd.getNumPartitions() == 10 and d.count() == 1000
