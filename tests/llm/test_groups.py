@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -82,6 +83,41 @@ def test_jaccard_by_the_last_step_alone(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_of_equal_small_sets(spark):
+    """Word sequences that differ, of one, two and three shingles that don't."""
+    texts = ["a a a a a", "a a a a a a a", "x y x y x y", "y x y x y x y x", "p q r p q r p", "q r p q r p q r", "p q r p q r"]
+    rows = list(enumerate(texts))
+    found = near_duplicates.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+
+
+@pytest.mark.parametrize(("low", "both", "left", "right"), [(0, 8, 2, 0), (0, 18, 2, 2), (1, 30, 3, 4), (1, 34, 4, 4)])
+def test_linked_sets_meet_whatever_segments_are_empty(low, both, left, right):
+    """Sets whose shingles lie in few segments, the differing ones among them."""
+    top, _, _, segments, _ = near_duplicates.bands()
+    n = both + max(left, right)
+    band = int(np.searchsorted(top, n))
+    salt = near_duplicates.mix(np.arange(len(top), dtype=np.uint64) + np.uint64(77))[band]
+    tokens = np.arange(1, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = (near_duplicates.mix(tokens + salt) % np.uint64(segments[band])).astype(int)
+    # One segment for a small band; for a larger one as many as shingles that differ, each of which spoils its own.
+    used = range(left + right) if low else [0]
+    pools = [list(tokens[at == k][:60]) for k in used]
+    x, y = set(), set()
+    for k in range(left):
+        x.add(pools[k % len(pools)].pop())
+    for k in range(right):
+        y.add(pools[(left + k) % len(pools)].pop())
+    for k in range(both):
+        t = pools[k % len(pools)].pop()
+        x.add(t), y.add(t)
+    assert 10 * len(x & y) >= 8 * len(x | y)
+    h = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (x, y)])
+    key, doc, loss = near_duplicates.signatures(h, np.array([0, len(x), len(x) + len(y)]))
+    met = [set(key[(doc == d) & (loss < 0)].tolist()) for d in (0, 1)]
+    assert met[0] & met[1]
+
+
 def test_jaccard_of_several_texts_under_one_id(spark):
     a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
     rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, c), (5, c), (5, c)]
