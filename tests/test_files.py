@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 
+from quantloom.plans import file_queries
 from quantloom.sources import files
 
 HEAD = ",".join(files.BARS)
@@ -82,3 +83,21 @@ def test_written_by_key(kind, spark, tmp_path):
     assert sorted((r.k, int(r.n), r.t) for r in got.collect()) == [("a", 1, 'x, "y"\nz'), ("b", 2, "é")]
     with pytest.raises(ValueError, match="no such kind"):
         files.write_by(df, str(tmp_path / "no"), ["k"], "xml")
+
+
+def test_news_files_are_few(spark, sf, tmp_path, monkeypatch):
+    """A file per source and month, not per source and day, which is a file for every other document."""
+    monkeypatch.setattr(file_queries, "place_of", lambda _: str(tmp_path))
+    assert file_queries.s04(spark, sf).count() > 0
+    written = list(tmp_path.rglob("*.csv"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("count(*) as n", "count(distinct source) as sources", "max(doc_id) * 37 / (28 * 1440) + 2 as months").first()
+    assert len(written) <= (rows["sources"] + 1) * rows["months"] and 2 * len(written) < rows["n"]
+
+
+def test_news_of_days_from_files_by_month(spark, tmp_path):
+    for name, days in (("20240101", ("2024-01-02", "2024-01-31")), ("20240201", ("2024-02-01", "2024-02-03"))):
+        folder = tmp_path / "s" / name
+        folder.mkdir(parents=True)
+        (folder / "part.csv").write_text("datetime,title,content\n" + "".join(f"{d} 10:00:00,t,c\n" for d in days))
+    found = files.read_news(spark, str(tmp_path), "20240131", "20240202", "*.csv", r"([^/]+)/[0-9]+/[^/]+$", by_month=True)
+    assert sorted(str(r["datetime"])[:10] for r in found.collect()) == ["2024-01-31", "2024-02-01"]
