@@ -101,3 +101,13 @@ def test_news_of_days_from_files_by_month(spark, tmp_path):
         (folder / "part.csv").write_text("datetime,title,content\n" + "".join(f"{d} 10:00:00,t,c\n" for d in days))
     found = files.read_news(spark, str(tmp_path), "20240131", "20240202", "*.csv", r"([^/]+)/[0-9]+/[^/]+$", by_month=True)
     assert sorted(str(r["datetime"])[:10] for r in found.collect()) == ["2024-01-31", "2024-02-01"]
+
+
+def test_series_of_instruments_that_share_a_code_stay_whole(spark, tmp_path, monkeypatch):
+    """Suppliers 1000 and 10000 have one code; bars of both on one day are two rows, as in SQL."""
+    days = [dt.datetime(1994, 1, 1) + dt.timedelta(days=k) for k in range(300)]
+    rows = [(s, d, 5.0, 100.0, 0.05, 0.04) for s in (1000, 10000) for d in days]
+    place = tmp_path / "sf"
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{place}/lineitem.parquet")
+    monkeypatch.setattr(file_queries, "place_of", lambda _: str(tmp_path))
+    assert file_queries.s01(spark, str(place)).count() == 600
