@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -123,3 +124,12 @@ def test_classifier_with_rare_labels(spark):
         M.classify(df.where("y = 0"), df, ["x"], "y")
     weights = {r.y: r.t for r in M.class_weights(df, "y").groupBy("y").agg(F.sum("_w").alias("t")).collect()}
     assert weights[0] == pytest.approx(weights[1])
+
+
+def test_auc_of_one_group_is_no_single_task(spark):
+    """Without groups the scores still lie in ranges: no window over all rows."""
+    rows = spark.range(1000).selectExpr("cast(id % 500 as double) as s", "cast(id % 3 = 0 as int) as y")
+    found = M.auc(rows, "s", "y", [])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"sum\(_[np]#\d+L?\) windowspecdefinition\((\w+)#", plan)) == {"_range"}
+    assert found.first()["n"] == 1000
