@@ -48,87 +48,95 @@ def with_pattern(df: DataFrame, price: str, window: int, name: str, top: bool =
     return df.drop(*[f"_{name}_{x}" for x in ("seg", "l", "r", "m")])
 
 
-def peaks(x: np.ndarray) -> np.ndarray:
-    """Per row of windows, where a value is higher than what is beside it; of a level stretch its middle, none at an edge."""
-    rows, n = x.shape
-    rising, falling = np.zeros((rows, n), bool), np.zeros((rows, n), bool)
-    start, end = np.zeros((rows, n), np.int64), np.full((rows, n), n - 1)
-    for j in range(1, n):
-        level = x[:, j] == x[:, j - 1]
-        rising[:, j] = (x[:, j] > x[:, j - 1]) | (level & rising[:, j - 1])
-        start[:, j] = np.where(level, start[:, j - 1], j)
-    for j in range(n - 2, -1, -1):
-        level = x[:, j] == x[:, j + 1]
-        falling[:, j] = (x[:, j] > x[:, j + 1]) | (level & falling[:, j + 1])
-        end[:, j] = np.where(level, end[:, j + 1], j)
-    return rising & falling & (np.arange(n) == (start + end) // 2)
-
-
-def prominence(x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Height of peaks over the higher of the lowest values on both sides, each side up to a higher value or the edge."""
-    n, height = x.shape[1], x[row, at]
-    bases = []
-    for step in (-1, 1):
-        low, going = height.copy(), np.ones(len(at), bool)
-        for k in range(1, n):
-            place = at + step * k
-            going &= (place >= 0) & (place < n)
-            value = x[row, np.clip(place, 0, n - 1)]
-            going &= value <= height
-            if not going.any():
-                break
-            low = np.where(going, np.minimum(low, value), low)
-        bases.append(low)
-    return height - np.maximum(*bases)
-
-
-def double_extremes(x: np.ndarray, prominent: float, tolerance: float, separation: int) -> np.ndarray:
-    """Per window of prices: does it end above the highest value between its last two prominent lows, which are alike?"""
-    n = x.shape[1]
-    found = peaks(-x)
-    row, at = np.nonzero(found)
-    good = prominence(-x, row, at) >= prominent * np.abs(x.mean(1))[row]
-    found[row[~good], at[~good]] = False
-    places = np.arange(n)
-    second = np.where(found, places, -1).max(1)
-    first = np.where(found & (places < second[:, None]), places, -1).max(1)
-    both = first >= 0
-    inside = (places >= first[:, None]) & (places <= second[:, None])
-    neck = np.where(inside, x, -np.inf).max(1)
-    rows = np.arange(len(x))
-    base, other = x[rows, first], x[rows, second]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return both & (second - first >= separation) & ((neck - base) / base > prominent) & (np.abs(base - other) / base < tolerance) & (x[:, -1] > neck)
-
-
-def _tops(x: np.ndarray, prominent: float, tolerance: float, separation: int) -> np.ndarray:
-    """The same upside down; shares are of the first top."""
-    n = x.shape[1]
-    found = peaks(x)
-    row, at = np.nonzero(found)
-    good = prominence(x, row, at) >= prominent * np.abs(x.mean(1))[row]
-    found[row[~good], at[~good]] = False
-    places = np.arange(n)
-    second = np.where(found, places, -1).max(1)
-    first = np.where(found & (places < second[:, None]), places, -1).max(1)
-    inside = (places >= first[:, None]) & (places <= second[:, None])
-    neck = np.where(inside, x, np.inf).min(1)
-    rows = np.arange(len(x))
-    base, other = x[rows, first], x[rows, second]
+def peaks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, end) of the peaks of a series: level stretches, single values mostly, that are higher than what is beside them.
+
+    A stretch is placed at its middle; one at an edge of the series is none.
+    """
+    turns = np.flatnonzero(x[1:] != x[:-1]) + 1
+    start, end = np.concatenate([[0], turns]), np.concatenate([turns - 1, [len(x) - 1]])
+    level = x[start]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (start[top] + end[top]) // 2, start[top], end[top]
+
+
+def lowest(x: np.ndarray, at: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """Per place and distance up to ``reach`` on one side, the lowest value from the place to there, no farther than a higher value or the edge of the series."""
+    places = at[:, None] + step * np.arange(reach + 1)
+    inside = (places >= 0) & (places < len(x))
+    values = np.where(inside, x[np.clip(places, 0, len(x) - 1)], np.inf)
+    beyond = np.logical_or.accumulate(values > x[at][:, None], axis=1)
+    return np.minimum.accumulate(np.where(beyond, np.inf, values), axis=1)
+
+
+def last_two(x: np.ndarray, window: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the last two prominent peaks of each window of ``window`` + 1 values by the window's last place, -1 where there is none.
+
+    A peak is prominent in a window if its height over the higher of the
+    lowest values on both sides, each up to a higher value or the window's edge, is ``least`` or more.  A
+    stretch that reaches an edge of the window is no peak there.  A peak is looked at once, with all windows
+    that hold it, so that work grows with peaks times ``window``.
+    """
+    at, start, end = peaks(x)
+    first, second = np.full(len(x), -1), np.full(len(x), -1)
+    ahead = np.arange(window + 1)
+    for low in range(0, len(at), PEAKS):
+        p, a, b = (v[low : low + PEAKS] for v in (at, start, end))
+        # Column k: the window that ends k places after the peak and starts window - k before it.
+        right, left = lowest(x, p, window, 1), lowest(x, p, window, -1)[:, ::-1]
+        last = p[:, None] + ahead
+        whole = (last > b[:, None]) & (last - window < a[:, None]) & (last >= window) & (last < len(x))
+        good = whole & (x[p][:, None] - np.maximum(left, right) >= least[np.clip(last, 0, len(x) - 1)])
+        for k in ahead[::-1]:
+            # A window meets its peaks in order, the farthest back first; it has one at most at a distance.
+            held = p[good[:, k]]
+            first[held + k], second[held + k] = second[held + k], held
+    return first, second
+
+
+def highest(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The highest value of each range of places, both ends included, from maxima of stretches of powers of two."""
+    power = np.frexp(high - low + 1)[1] - 1
+    out, stretch = np.full(len(low), -np.inf), x
+    for k in range(int(power.max(initial=0)) + 1):
+        here = power == k
+        out[here] = np.maximum(stretch[low[here]], stretch[high[here] - (1 << k) + 1])
+        if len(stretch) > 1 << k:
+            stretch = np.maximum(stretch[: -(1 << k)], stretch[1 << k :])
+    return out
+
+
+def double_extremes(x: np.ndarray, window: int, prominent: float, tolerance: float, separation: int, top: bool = False) -> np.ndarray:
+    """Per place of a series: does it end above the highest value between the last two prominent lows of its window, which are alike?  ``top`` turns it round.
+
+    Shares are of the first low (or top); a place without a whole window has no pattern.
+    """
+    found = np.zeros(len(x), bool)
+    sign = 1 if top else -1
+    views = np.lib.stride_tricks.sliding_window_view(x, window + 1)
+    mean = np.full(len(x), np.nan)
+    for low in range(0, len(views), ROWS):
+        mean[window + low : window + low + ROWS] = np.ascontiguousarray(views[low : low + ROWS]).mean(1)
+    first, second = last_two(sign * x, window, prominent * np.abs(mean))
+    at = np.flatnonzero((first >= 0) & (second - first >= separation))
+    a, b = first[at], second[at]
+    base, other, neck = x[a], x[b], -sign * highest(-sign * x, a, b)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return (first >= 0) & (second - first >= separation) & ((base - neck) / base > prominent) & (np.abs(base - other) / base < tolerance) & (x[:, -1] < neck)
+        depth = (base - neck) / base if top else (neck - base) / base
+        broken = x[at] < neck if top else x[at] > neck
+        found[at] = (depth > prominent) & (np.abs(base - other) / base < tolerance) & broken
+    return found
 
 
-#: Windows that are looked at together.
-ROWS = 4096
+#: Windows, and peaks, that are looked at together.
+ROWS, PEAKS = 4096, 2048
 
 
 def double_patterns(df: DataFrame, price: str = "close", window: int = 60, prominent: float = 0.02, tolerance: float = 0.03, separation: int = 5) -> DataFrame:
     """(key, date, double_bottom, double_top) of every bar with a price: 1 where it breaks the neckline of the pattern in the ``window`` bars before it.
 
-    One Arrow pass per instrument, whose series is bounded by its dates;
-    windows are views of it, a few thousand at a time.  The first ``window``
-    bars have none.
+    One Arrow pass per instrument, whose series is bounded by its dates.  The
+    first ``window`` bars have none.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -136,14 +144,8 @@ def double_patterns(df: DataFrame, price: str = "close", window: int = 60, promi
         x = pdf[price].to_numpy(float)
         out = pdf[[KEY, TIME]].assign(double_bottom=np.int32(0), double_top=np.int32(0))
         if len(x) > window:
-            views = np.lib.stride_tricks.sliding_window_view(x, window + 1)
-            marks = [[], []]
-            for low in range(0, len(views), ROWS):
-                part = np.ascontiguousarray(views[low : low + ROWS])
-                marks[0].append(double_extremes(part, prominent, tolerance, separation))
-                marks[1].append(_tops(part, prominent, tolerance, separation))
-            for name, m in zip(("double_bottom", "double_top"), marks, strict=True):
-                out[name] = np.concatenate([np.zeros(window, bool), *m]).astype(np.int32)
+            for name, top in (("double_bottom", False), ("double_top", True)):
+                out[name] = double_extremes(x, window, prominent, tolerance, separation, top).astype(np.int32)
         return out
 
     rows = df.select(KEY, TIME, F.col(price).cast("double").alias(price)).where(F.col(price).isNotNull() & ~F.isnan(price))
