@@ -91,16 +91,20 @@ def split_days(days: DataFrame, blocks: DataFrame, key: str, purge: int = 35, da
     """(key, day, split): each day's split by its block; the last ``purge`` days before every change of split are ``gap``.
 
     A day meets its block by the number of blocks that have begun: one union
-    and one running sum, no range join.  Gaps come from the next change ahead of a day, by number of day.
+    and running values over one exchange, no range join.  Gaps come from the next change ahead of a day, by
+    number of day, which is carried from the last day backwards: a frame from each day to the end would be added up anew for every day.
     """
     starts = blocks.select(key, F.col("first_day").alias(day), F.lit(0).alias("_side"), F.struct("block", "split", "tail", "n_days").alias("_b"))
-    stacked = days.select(key, day).distinct().select(key, day, F.lit(1).alias("_side"), F.lit(None).cast(starts.schema["_b"].dataType).alias("_b"))
+    stacked = days.select(key, day, F.lit(1).alias("_side"), F.lit(None).cast(starts.schema["_b"].dataType).alias("_b"))
     w = Window.partitionBy(key).orderBy(day, "_side")
     met = starts.unionByName(stacked).withColumn("_b", F.last("_b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
-    at = F.row_number().over(Window.partitionBy(key, F.col("_b.block")).orderBy(day))
-    placed = met.withColumn("raw", F.when(F.col("_b").isNull() | (at <= F.col("_b.n_days") - F.col("_b.tail")), "train").otherwise(F.col("_b.split")))
+    once = met.withColumn("_k", F.row_number().over(Window.partitionBy(key, day).orderBy("_side"))).where("_k = 1")
     o = Window.partitionBy(key).orderBy(day)
-    numbered = placed.withColumns({"_row": F.row_number().over(o), "_turn": F.lead("raw").over(o) != F.col("raw")})
-    ahead = F.first(F.when(F.col("_turn"), F.col("_row")), ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing))
+    numbered = once.withColumns({"_row": F.row_number().over(o), "_begins": ~F.lag("_b.block").over(o).eqNullSafe(F.col("_b.block"))})
+    at = F.col("_row") - F.last(F.when(F.col("_begins"), F.col("_row")), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    placed = numbered.withColumn("raw", F.when(F.col("_b").isNull() | (at <= F.col("_b.n_days") - F.col("_b.tail")), "train").otherwise(F.col("_b.split")))
+    turned = placed.withColumn("_turn", F.lead("raw").over(o) != F.col("raw"))
+    back = Window.partitionBy(key).orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last(F.when(F.col("_turn"), F.col("_row")), ignorenulls=True).over(back)
     gap = F.coalesce(ahead - F.col("_row") < purge, F.lit(False))
-    return numbered.select(key, day, F.when(gap, "gap").otherwise(F.col("raw")).alias("split"))
+    return turned.select(key, day, F.when(gap, "gap").otherwise(F.col("raw")).alias("split"))

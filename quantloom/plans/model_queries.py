@@ -10,6 +10,7 @@ from ..operators import patterns as P
 from ..operators import regimes as R
 from ..operators import residuals as D
 from ..operators import timeseries as S
+from ..streaming.jobs import kept
 from .base import query, sql_q
 
 KEYS = ["ts_code", "trade_date"]
@@ -96,21 +97,22 @@ def l18(T):
     return d.select(*KEYS, quantise(F.col("stack"), 3).alias("stack"), quantise(F.col("coefs")[3], 3).alias("intercept"))
 
 
-def _regimes(T):
-    bars = T("bars").select(*KEYS, "close").withColumn("mean", S.rolling(F.avg, "close", 60))
-    return R.merge_short(R.raw_blocks(bars, F.col("close") > F.col("mean"), "ts_code"), "ts_code", 20)
+def _regimes(bars):
+    averaged = bars.select(*KEYS, "close").withColumn("mean", S.rolling(F.avg, "close", 60))
+    return R.merge_short(R.raw_blocks(averaged, F.col("close") > F.col("mean"), "ts_code"), "ts_code", 20)
 
 
 @query("l12_regime_blocks")
 def l12(T):
     """Blocks of each instrument above and below its 60-bar mean, none shorter than 20 bars, with their splits."""
-    return R.assign(_regimes(T), "ts_code", 100, 90)
+    return R.assign(_regimes(T("bars")), "ts_code", 100, 90)
 
 
 @query("l12_regime_split")
 def l12_split(T):
     """Every bar's split by its block, purged before each change."""
-    return R.split_days(T("bars"), R.assign(_regimes(T), "ts_code", 100, 90), "ts_code", 15)
+    bars = kept(T("bars").select(*KEYS, "close"))
+    return R.split_days(bars, R.assign(_regimes(bars), "ts_code", 100, 90), "ts_code", 15)
 
 
 def _halves(name: str, window: int, top: bool) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import ensembles as E
 from quantloom.operators import regimes as R
+from quantloom.plans import registry
 
 
 def day(n):
@@ -162,3 +163,21 @@ def test_regime_splits(spark):
     for r in sorted(R.split_days(days, blocks, "ts_code", 5).collect()):
         got.setdefault(r.ts_code, []).append(r.split)
     assert got == {c: brute_split(fs, 12, 20, 18, 5) for c, fs in walks.items()}
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "extended")
+
+
+def test_regime_splits_read_bars_once(spark, sf):
+    plan = plan_of(registry.QUERIES["l12_regime_split"](spark, sf))
+    assert "lineitem.parquet" not in plan and "l_shipdate" not in plan
+    # A frame from each day to the last one is added up anew for every day.
+    assert "currentrow$(), unboundedfollowing" not in plan.lower()
+
+
+def test_regime_splits_of_repeated_days(spark):
+    days = spark.createDataFrame([("a", day(i // 2), (i // 20) % 2 == 0) for i in range(100)], "ts_code string, trade_date date, f boolean").repartition(4)
+    once = days.distinct()
+    blocks = R.assign(R.merge_short(R.raw_blocks(once, F.col("f"), "ts_code"), "ts_code", 5), "ts_code", 6, 6)
+    assert sorted(R.split_days(days, blocks, "ts_code", 3).collect()) == sorted(R.split_days(once, blocks, "ts_code", 3).collect())
