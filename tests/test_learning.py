@@ -133,3 +133,24 @@ def test_auc_of_one_group_is_no_single_task(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert set(re.findall(r"sum\(_[np]#\d+L?\) windowspecdefinition\((\w+)#", plan)) == {"_range"}
     assert found.first()["n"] == 1000
+
+
+def test_limit_classifier_reads_bars_once(spark, sf):
+    from quantloom.plans import registry
+
+    scored = registry.QUERIES["l19_limit_classifier"](spark, "/root/testdata/sf0.01")
+    plan = spark._jvm.PythonSQLUtils.explainString(scored._jdf.queryExecution(), "extended")
+    assert "lineitem.parquet" not in plan and "l_shipdate" not in plan
+
+
+def test_drift_classifier_derives_its_rows_once(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            passed.add(len(p))
+            yield p
+
+    rows = spark.range(400).select("id", (F.col("id") % 7 + F.col("id") / 100).alias("x")).mapInPandas(count, "id long, x double")
+    M.drift_classifier(rows, ["x"], F.col("id") >= 200, ["id"])[0].collect()
+    assert passed.value == 400
