@@ -33,8 +33,8 @@ def step(state: tuple | None, close: float, change: float, spans: tuple[int, int
 class Indicators(StatefulProcessor):
     """One value per instrument: the means, the streak and the last date.
 
-    Rows of a batch are taken by date; of several rows of one date the first
-    counts.  A row at or before the last date comes too late: it changes nothing and
+    Rows of a batch are taken by date, several of one date one after the
+    other.  A row at or before the last date of the batches before comes too late: it changes nothing and
     leaves marked, for a side table.  An instrument that is silent for
     ``idle_ms`` of processing time is forgotten, so that state is bounded by
     the live instruments.
@@ -51,9 +51,10 @@ class Indicators(StatefulProcessor):
         bars = pd.concat(list(rows)).sort_values([TIME, "close", "pct_chg"], kind="stable")
         held = self.value.get() if self.value.exists() else None
         state, day = (tuple(held[:4]), held[4]) if held is not None else (None, None)
+        closed = day
         out = []
         for at, close, change in zip(bars[TIME], bars["close"], bars["pct_chg"], strict=True):
-            if day is not None and at <= day:
+            if closed is not None and at <= closed:
                 out.append((at, close, np.nan, np.nan, -1, True))
                 continue
             state, day = step(state, close, change), at

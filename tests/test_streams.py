@@ -127,3 +127,29 @@ def test_first_of_content_forgets_beyond_its_horizon(spark):
     events = stream_of(spark, f"{jobs.place_of(spark)}/events", *rows)
     got = jobs.drained(jobs.first_of_content(events, "event_type", "ts", "2 days").select("event_id", "event_type")).collect()
     assert sorted(r.event_type for r in got) == ["a", "a", "y", "z"] and {3, 4} <= {r.event_id for r in got}
+
+
+def test_bars_of_one_day_all_count(spark):
+    rows = [("a", day(n), 10.0 + n % 5 + k, float(n % 3 - 1)) for n in range(9) for k in range(2)]
+    main, side = state.feed(spark, [spark.createDataFrame([r for r in rows if (r[1] < day(4)) == early], SHAPE).repartition(3) for early in (True, False)])
+    held, expected = None, []
+    for code, d, close, change in sorted(rows):
+        held = state.step(held, close, change)
+        expected.append((code, d, held[0] - held[1], held[2], held[3]))
+    got = sorted((r.ts_code, r.trade_date, r.macd, r.macd_signal, r.up_days) for r in main.collect())
+    assert len(got) == 18 and side.count() == 0
+    assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(got, sorted(expected), strict=True))
+
+
+def test_keyed_state_equals_its_sql_where_codes_repeat(spark, tmp_path):
+    import duckdb
+
+    from quantloom.plans import registry
+
+    # Suppliers 1000 and 10000 have the code of four places in common. On days of both the price stays, so that their order makes no difference.
+    duckdb.sql(f"""copy (select s as l_suppkey, cast(1 + d % 3 as double) as l_quantity, 100e0 + d as l_extendedprice, case when d % 2 = 0 then 5e-2 else (d * 7 % 11) / 1e2 end as l_discount, (d % 9) / 1e2 as l_tax,
+      timestamp '1994-05-01' + d * interval 1 day as l_shipdate from (values (1000), (10000), (1001)) t(s), range(60) r(d) where s < 10000 or d % 2 = 0) to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    got = sorted(tuple(r) for r in registry.QUERIES["ts7_keyed_state"](spark, str(tmp_path)).collect())
+    expected = sorted(duckdb.sql(registry.ORACLE_SQL["ts7_keyed_state"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet'")).fetchall())
+    assert len(got) == 30 + 30 * 4 + 60
+    assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9) for a, b in zip(got, expected, strict=True))
