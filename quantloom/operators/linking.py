@@ -25,6 +25,15 @@ MOST_CHARACTERS = 4_000_000
 #: Entities that one alias may stand for; aliases of many entities say little.
 PER_ALIAS = 3
 MASK = "\0"
+#: Bytes of texts that are handed to Python at a time.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark) -> None:
+    """Texts go to Python a few megabytes at a time, however many a task has, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 class Matcher:
@@ -86,6 +95,7 @@ def contained(texts: DataFrame, aliases: DataFrame, text: str, alias: str, name:
 
     A null text has none; null aliases are left out.
     """
+    lean(texts.sparkSession)
     held = dictionary(aliases, alias)
     if held is not None:
         token = uuid.uuid4().hex
@@ -93,8 +103,8 @@ def contained(texts: DataFrame, aliases: DataFrame, text: str, alias: str, name:
         @F.pandas_udf("array<string>")
         def find(column):
             matcher = _held(token, held)
-            places = [{} if t is None else matcher.places(t) for t in column]
-            return pd.Series([unmasked(p, len(t)) if masked and p else sorted(p) for p, t in zip(places, column, strict=True)])
+            # One text's places at a time.
+            return pd.Series([[] if t is None else unmasked(matcher.places(t), len(t)) if masked else sorted(matcher.places(t)) for t in column])
 
         return texts.withColumn(name, find(F.col(text)))
 

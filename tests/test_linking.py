@@ -96,3 +96,26 @@ def test_reranker_learns_what_the_features_say(spark):
 
 
 FEATURE_COS = L.FEATURES.index("cos")
+
+
+def test_texts_go_to_python_a_few_megabytes_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        texts = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("x abc "), 1000).alias("body"))
+        found = L.contained(texts, spark.createDataFrame([("abc",)], "alias string"), "body", "alias", "found")
+
+        @F.pandas_udf("long")
+        def held(column):
+            return column.map(len).cumsum()
+
+        assert found.select(F.max(held("body"))).first()[0] <= L.BATCH_BYTES + 6000
+        assert found.where(F.size("found") == 1).count() == 3000
+        spark.conf.set(key, "1000")
+        L.lean(spark)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
