@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -89,16 +90,24 @@ def discard(spark, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def remove(spark, *paths: str) -> None:
+def remove(spark, *paths: str, wait: bool = False) -> None:
     """``discard``, and what else nothing refers to."""
     discard(spark, *paths)
-    tidy(spark)
+    tidy(spark, wait)
 
 
-def tidy(spark) -> None:
-    """Drop the files of exchanges and checkpoints that nothing refers to any more; Spark deletes them once their plans are collected."""
+def tidy(spark, wait: bool = False) -> None:
+    """Drop the files of exchanges and checkpoints that nothing refers to any more; Spark deletes them once their plans are collected.
+
+    Python lets go of plans in a thread that looks about once a second, so
+    without waiting for it the files of the last job stay until the next call.
+    """
     gc.collect()
+    if wait:
+        time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(0.5)
 
 
 def released(run):

@@ -3,9 +3,11 @@
 Every word starts two short seeds, four words and four more that follow at once
 or after one word between, so that a word replaced, put in or left out every
 fifth word still leaves seeds, and a long seed of forty words, which is a
-passage by itself.  Every occurrence of a seed is matched with the first of all,
-by document and place, and with the one before it in the same text; blocks do so
-among themselves before the shuffle.  So a passage that an earlier document has
+passage by itself.  A first exchange finds the four words in a row that recur at
+all; seeds are made of these only, document by document, so that words that no
+other place has cost one short row each.  Every occurrence of a seed is matched
+with the first of all, by document and place, and with the one before it in the
+same text; groups of documents do so among themselves before the shuffle.  So a passage that an earlier document has
 word for word is found whatever holds its short seeds.  Passages with edits are
 found through short seeds whose first holder has the passage too.
 Matches of two documents form chains
@@ -42,41 +44,67 @@ WINDOW = 160
 #: Words from one half to the next on a diagonal up to which they are one stretch.
 STRETCH = K + 1
 NONE = (-1e18, -1)
-#: The keys are joined in so many parts, one after the other, which bounds the disk that the exchange takes.
-PASSES = 4
-#: Rows of packed numbers travel under this many times more names than there are partitions.
-SPREAD = 8
+#: Bits of the hash of K words.
+HASH = 48
+#: Kinds of packed rows: those that may have equals elsewhere, those that stand for equals known to a block, those that are done with.
+LONE, KNOWN, DONE = 0, 2, 1
+PACKED = "p long, kind long, rows binary"
 
 
-def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, text, spot) of texts long enough for a passage, by text and spot, in one of several parts of the keys.
+def starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, text, word) of every K words in a row of the texts long enough for a passage, by text and word; a run is a hash of HASH bits."""
+    w = words_of([t.lower() for t in texts])
+    h, at = runs(w.hashes(), w.first, K)
+    counts = np.diff(w.first)
+    doc = np.repeat(np.arange(len(counts)), np.where(counts > 0, np.maximum(counts - K, 0) + 1, 0))
+    keep = counts[doc] >= MIN_WORDS
+    doc = doc[keep]
+    return h[keep] >> np.uint64(64 - HASH), doc, at[keep] - w.first[doc]
+
+
+def joined(h: np.ndarray, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, doc, spot): the seeds all of whose runs are among the given ones, which come by document and word; those of a kind come so too.
 
     A spot is twice the word where the seed starts, plus the words between its
     halves.  Long seeds are passages by themselves.
     """
-    w = words_of([t.lower() for t in texts])
-    h, at = runs(w.hashes(), w.first, K)
-    # Equal seeds start with equal words, which are what deals seeds to parts.
-    took = np.flatnonzero((h >> np.uint64(7)) % np.uint64(parts) == part)
-    doc = np.searchsorted(w.first, at[took], side="right") - 1
-    keep = np.diff(w.first)[doc] >= MIN_WORDS
-    took, doc = took[keep], doc[keep]
-    left = w.first[doc + 1] - at[took]
+    at = (np.cumsum(np.diff(doc, prepend=doc[:1]) != 0) << 33) + word
     factor = np.uint64(0x9E3779B97F4A7C15)
 
     def after(words: int) -> np.ndarray:
-        return h[np.minimum(took + words, len(h) - 1)]
-
+        """The index of the run that starts so many words later, -1 if there is none."""
+        out = np.full(len(at), -1)
+        for step in range(1, min(words, len(at) - 1) + 1):
+            hit = np.flatnonzero(at[step:] - at[:-step] == words)
+            out[hit] = hit + step
+        return out
+
+    follows = {skip: after(K + skip) for skip in APART}
+    keys, rows, spots = [], [], []
     with np.errstate(over="ignore"):
-        keys = [mix(h[took] * factor + after(K + skip)) for skip in APART]
-        whole = h[took]
-        for step in range(K, LONG, K):
-            whole = whole * factor + after(step)
+        for kind, skip in enumerate(APART):
+            row = np.flatnonzero(follows[skip] >= 0)
+            keys.append(mix(h[row] * factor + h[follows[skip][row]]))
+            rows.append(row)
+            spots.append(2 * word[row] + kind)
+        row = last = np.arange(len(h))
+        whole = h
+        for _ in range(K, LONG, K):
+            last = follows[0][last]
+            more = last >= 0
+            row, last, whole = row[more], last[more], whole[more]
+            whole = whole * factor + h[last]
         keys.append(mix(whole + np.uint64(LONG)))
-    good = np.stack([*(left >= 2 * K + skip for skip in APART), left >= LONG], 1).ravel()
-    take = np.flatnonzero(good)
-    row, kind = take // len(keys), take % len(keys)
-    return np.stack(keys, 1).ravel()[take].view(np.int64), doc[row], 2 * (at[took] - w.first[doc])[row] + np.where(kind < len(APART), kind, 0)
+        rows.append(row)
+        spots.append(2 * word[row])
+    return np.concatenate(keys).view(np.int64), doc[np.concatenate(rows)], np.concatenate(spots)
+
+
+def seeds(texts: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, spot): all seeds of the texts, in one of several parts of the keys; see ``joined``."""
+    key, doc, spot = joined(*starts(texts))
+    took = key.view(np.uint64) % np.uint64(parts) == part
+    return key[took], doc[took], spot[took]
 
 
 def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +121,13 @@ def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarr
     lone[order] = ~same[:-1] & ~same[1:]
     # In their first order, which packs well.
     alone = np.stack([key[lone], doc[lone], spot[lone]], 1)
-    key, doc, spot = key[~lone], doc[~lone], spot[~lone]
-    order = np.lexsort((spot, doc, key))
+    order = order[same[:-1] | same[1:]]
     key, doc, spot = key[order], doc[order], spot[order]
+    # Rows that came by document and place still do under each key.
+    back = (key[1:] == key[:-1]) & ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (spot[1:] < spot[:-1])))
+    if back.any():
+        order = np.lexsort((spot, doc, key))
+        key, doc, spot = key[order], doc[order], spot[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1])
     key, doc, spot = key[fresh], doc[fresh], spot[fresh]
@@ -103,7 +135,8 @@ def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarr
     head[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     own = doc == doc[first]
-    again = np.flatnonzero(~head[1:] & (doc[1:] == doc[:-1])) + 1
+    # One place may start both kinds of seeds with one key, where a word follows itself; it is no repeat of itself.
+    again = np.flatnonzero(~head[1:] & (doc[1:] == doc[:-1]) & (spot[1:] // 2 != spot[:-1] // 2)) + 1
     loose = np.concatenate([alone, np.stack([key[own], doc[own], spot[own]], 1)])
     pairs = [(np.flatnonzero(~own), first[~own]), (again, again - 1)]
     matched = np.concatenate([np.stack([doc[x], spot[x], doc[y], spot[y]], 1) for x, y in pairs])
@@ -113,8 +146,10 @@ def _match(key: np.ndarray, doc: np.ndarray, spot: np.ndarray) -> tuple[np.ndarr
 def _packed(kind: int, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     """(p, kind, rows): rows of numbers dealt by the first of them and packed, one row per part.
 
-    A packed row holds the first bytes of all numbers of a column, then their
-    second bytes and so on, so that what is alike lies together and compresses.
+    A packed row holds the smallest number of each column and how many bytes
+    it takes to tell the others from it; then the first of these bytes of all
+    rows, then the second and so on, so that what is alike lies together and
+    compresses.
     """
     with np.errstate(over="ignore"):
         p = (mix(rows[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -123,40 +158,102 @@ def _packed(kind: int, rows: np.ndarray, parts: int) -> pa.RecordBatch:
     rows, p = rows[order], p[order]
     cuts = np.flatnonzero(np.diff(p)) + 1
     names = p[np.concatenate([[0], cuts])] if len(p) else p
-    wide = np.ascontiguousarray(rows.T).view(np.uint8).reshape(rows.shape[1], len(rows), 8)
-    packed = [wide[:, x:y].transpose(0, 2, 1).tobytes() for x, y in zip([0, *cuts], [*cuts, len(p)], strict=True)] if len(p) else []
+    packed = []
+    if len(p):
+        low = rows.min(0)
+        above = [np.ascontiguousarray(column).view(np.uint64) for column in (rows - low).T]
+        sizes = [max(1, -(-int(column.max()).bit_length() // 8)) for column in above]
+        planes = np.stack([column.view(np.uint8)[byte::8] for column, size in zip(above, sizes, strict=True) for byte in range(size)])
+        head = np.array([*low, *sizes], np.int64).tobytes()
+        packed = [head + planes[:, x:y].tobytes() for x, y in zip([0, *cuts], [*cuts, len(p)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), kind)), pa.array(packed, pa.binary())], ["p", "kind", "rows"])
 
 
 def _unpacked(column: pa.Array, width: int) -> np.ndarray:
-    planes = (np.frombuffer(x, np.uint8).reshape(width, 8, -1) for x in column.to_pylist())
-    return np.concatenate([np.zeros((0, width), np.int64), *(np.ascontiguousarray(x.transpose(2, 0, 1)).view(np.int64)[:, :, 0] for x in planes)])
+    packed = column.to_pylist()
+    heads = [np.frombuffer(x, np.int64, 2 * width).tolist() for x in packed]
+    counts = [(len(x) - 16 * width) // sum(head[width:]) for x, head in zip(packed, heads, strict=True)]
+    out = np.zeros((sum(counts), width), np.int64)
+    at = 0
+    for x, head, n in zip(packed, heads, counts, strict=True):
+        here, planes = out[at : at + n], np.frombuffer(x, np.uint8, offset=16 * width).reshape(-1, n)
+        wide = here.view(np.uint8)
+        for plane, place in zip(planes, (8 * k + byte for k in range(width) for byte in range(head[width + k])), strict=True):
+            wide[:, place] = plane
+        here += np.array(head[:width])
+        at += n
+    return out
+
+
+def recurring(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(p, kind, rows): packed rows (document, word, run) of the runs that occur twice or more, dealt by the document; and the path of the table.
+
+    What a block holds twice is known to recur and goes to no other block;
+    one row stands for it there, so a run that all texts share sends one row
+    per block.
+    """
+    parts = shuffle_parts(docs)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _texts(batch, 1)
+            for low, high in blocks(texts):
+                h, doc, word = starts(texts[low:high])
+                again, head = _again(h)
+                rows = np.stack([h.view(np.int64), ids[low:high][doc], word], 1)
+                yield _packed(LONE, rows[~again], parts)
+                yield _packed(KNOWN, rows[head, :1], parts)
+                yield _packed(DONE, rows[again][:, [1, 2, 0]], parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lone, known = [], []
+        for batch in batches:
+            kind = batch.column(1)
+            lone.append(_unpacked(batch.column(2).filter(pa.compute.equal(kind, LONE)), 3))
+            known.append(_unpacked(batch.column(2).filter(pa.compute.equal(kind, KNOWN)), 1))
+            yield batch.filter(pa.compute.equal(kind, DONE))
+        if lone:
+            rows = np.concatenate(lone)
+            lone.clear()
+            again = _again(np.concatenate([rows[:, 0], *(k[:, 0] for k in known)]))[0][: len(rows)]
+            yield _packed(DONE, rows[again][:, [1, 2, 0]], parts)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return stored(texts.mapInArrow(released(emit), PACKED).repartitionById(parts, F.col("p").cast("int")).mapInArrow(released(meet), PACKED))
+
+
+def _again(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers occur twice or more, as a mask, and the places of one of each of them."""
+    order = np.argsort(h)
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(h), bool)
+    out[order] = same[:-1] | same[1:]
+    return out, order[same[1:] & ~same[:-1]]
 
 
 def anchors(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """(p, kind, rows): packed rows (a, spot, b, spot), dealt by a: a seed of document a that an earlier place, in b, holds.
 
-    Also returns the paths of the stored tables that hold them.
+    Only seeds whose runs all recur are made, as no other seed does.  Also
+    returns the paths of the stored tables that hold the rows.
     """
-    parts = shuffle_parts(docs) * SPREAD
-    shape = "p long, kind long, rows binary"
-
-    def emit(part: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)
-                for low, high in blocks(texts):
-                    key, doc, spot = seeds(texts[low:high], part, PASSES)
-                    loose, matched = _match(key, ids[low:high][doc].astype(np.int64), spot)
-                    yield _packed(0, loose, parts)
-                    yield _packed(1, matched, parts)
+    parts = shuffle_parts(docs)
 
-        return run
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpacked(batch.column(2), 3) for batch in batches]
+        if held:
+            rows = np.concatenate(held)
+            held.clear()
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            loose, matched = _match(*joined(rows[:, 2].copy().view(np.uint64), rows[:, 0].copy(), rows[:, 1].copy()))
+            yield _packed(LONE, loose, parts)
+            yield _packed(DONE, matched, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            loose = pa.compute.equal(batch.column(1), 0)
+            loose = pa.compute.equal(batch.column(1), LONE)
             held.append(_unpacked(batch.column(2).filter(loose), 3))
             yield batch.filter(pa.compute.invert(loose))
         if held:
@@ -164,16 +261,15 @@ def anchors(docs: DataFrame) -> tuple[DataFrame, list[str]]:
             held.clear()
             matched = _match(rows[:, 0], rows[:, 1], rows[:, 2])[1]
             # The repeats inside one document have been matched already.
-            yield _packed(1, matched[matched[:, 0] != matched[:, 2]], parts)
+            yield _packed(DONE, matched[matched[:, 0] != matched[:, 2]], parts)
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found, paths = None, []
-    for part in range(PASSES):
-        one, path = stored(texts.mapInArrow(released(emit(part)), shape).repartition(shuffle_parts(docs), "p").mapInArrow(released(meet), shape))
-        found = one if found is None else found.unionByName(one)
-        paths.append(path)
-        tidy(docs.sparkSession)
-    return found, paths
+    found, path = recurring(docs)
+    tidy(docs.sparkSession, wait=True)
+    dealt = found.repartitionById(parts, F.col("p").cast("int")).mapInArrow(released(emit), PACKED)
+    matched, last = stored(dealt.repartitionById(parts, F.col("p").cast("int")).mapInArrow(released(meet), PACKED))
+    del dealt, found
+    remove(docs.sparkSession, path, wait=True)
+    return matched, [last]
 
 
 class Reach:
@@ -277,7 +373,7 @@ def chains(found: DataFrame) -> DataFrame:
             ids = np.array(ids, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(parts, pa.binary())], ["a", "b", "parts"])
 
-    return found.repartition(shuffle_parts(found), "p").mapInArrow(released(run), "a long, b long, parts binary")
+    return found.repartitionById(shuffle_parts(found), F.col("p").cast("int")).mapInArrow(released(run), "a long, b long, parts binary")
 
 
 def chains_of(packed: bytes) -> Iterator[np.ndarray]:
@@ -308,11 +404,17 @@ def align(x: np.ndarray, y: np.ndarray) -> int:
     common = head + tail
     if not len(x) or not len(y):
         return common
-    row = np.zeros(len(y) + 1, np.int64)
-    for v in x:
-        row[1:] = np.maximum(row[1:], row[:-1] + (y == v))
-        row = np.maximum.accumulate(row)
-    return common + int(row[-1])
+    # A row of the table of common words is a number whose bits are unset where the row rises.
+    places: dict[int, int] = {}
+    for j, v in enumerate(y.tolist()):
+        places[v] = places.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x.tolist():
+        here = row & places.get(v, 0)
+        if here:
+            row = ((row + here) | (row - here)) & full
+    return common + len(y) - row.bit_count()
 
 
 def _grow(x: np.ndarray, y: np.ndarray) -> int:
@@ -320,7 +422,7 @@ def _grow(x: np.ndarray, y: np.ndarray) -> int:
 
     Growth ends for good where it has lost more than MAX_GAP differing words cost.
     """
-    n, at, size, total, best, end = min(len(x), len(y)), 0, 64, 0, 0, 0
+    n, at, size, total, best, end = min(len(x), len(y)), 0, 512, 0, 0, 0
     while at < n:
         gain = total + np.cumsum(np.where(x[at : at + size][: n - at] == y[at : at + size][: n - at], 1, -LOSS))
         lost = gain < np.maximum(np.maximum.accumulate(gain), best) - LOSS * MAX_GAP
@@ -376,8 +478,20 @@ def judge_many(items: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterat
     left = _grow_many(*flat, start[0] + ends[:, 0] - 1, start[1] + ends[:, 2] - 1, -1)
     right = _grow_many(*flat, start[0] + ends[:, 1], start[1] + ends[:, 3], 1)
     grown = ends + np.stack([-left, right, -left, right], 1)
-    for (x, y, c), now, settled in zip(items, grown.tolist(), ((left >= 0) & (right >= 0)).tolist(), strict=True):
-        yield judge(x, y, c, now if settled else None)
+    settled = (left >= 0) & (right >= 0)
+    # Chains of one stretch, whose two sides are equally long, need no alignment where all their words are equal.
+    one = np.flatnonzero(settled & np.array([len(c) == 1 for _, _, c in items]))
+    sizes = (grown[:, 1] - grown[:, 0])[one]
+    way = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at_x, at_y = np.repeat((start[0] + grown[:, 0])[one], sizes) + way, np.repeat((start[1] + grown[:, 2])[one], sizes) + way
+    plain = np.zeros(len(items), bool)
+    if len(one):
+        plain[one] = (sizes < MIN_CHAIN) | (np.add.reduceat((flat[0][at_x] == flat[1][at_y]).astype(np.int64), np.cumsum(sizes) - sizes) == sizes)
+    for (x, y, c), now, known, same in zip(items, grown.tolist(), settled.tolist(), plain.tolist(), strict=True):
+        if same:
+            yield [(now[0], now[1], now[1] - now[0])] if now[1] - now[0] >= MIN_CHAIN else []
+        else:
+            yield judge(x, y, c, now if known else None)
 
 
 def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray, grown: list[int] | None = None) -> list[tuple[int, int, int]]:
@@ -402,6 +516,15 @@ def judge(x: np.ndarray, y: np.ndarray, parts: np.ndarray, grown: list[int] | No
     return out
 
 
+def _hashes(texts: dict[int, bytes]) -> dict[int, np.ndarray]:
+    """The hashes of the words of each text."""
+    out, names, lower = {}, list(texts), [t.lower() for t in texts.values()]
+    for low, high in blocks(lower):
+        w = words_of(lower[low:high])
+        out |= zip(names[low:high], np.split(w.hashes(), w.first[1:-1]), strict=True)
+    return out
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """A stored table of numbers, marked for broadcast if it is small."""
     return small(cut(ids))
@@ -442,25 +565,18 @@ def passages(docs: DataFrame) -> DataFrame:
     matched, paths = anchors(docs)
     found = stored(chains(matched))[0]
     del matched
-    remove(spark, *paths)
+    remove(spark, *paths, wait=True)
     sides = docs.join(_few(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     joined = found.join(sides.toDF("a", "ta"), "a").join(sides.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[int, np.ndarray] = {}
-
-        def hashes(doc: int, text: bytes) -> np.ndarray:
-            if doc not in memory:
-                if len(memory) > 64:
-                    memory.clear()
-                memory[doc] = words_of([text.lower()]).hashes()
-            return memory[doc]
-
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 names, items = [], []
-                for r in batch.slice(low, 256).to_pylist():
-                    x, y = hashes(r["a"], r["ta"]), hashes(r["b"], r["tb"])
+                found = batch.slice(low, 256).to_pylist()
+                hashes = _hashes({r[i]: r[t] for r in found for i, t in (("a", "ta"), ("b", "tb"))})
+                for r in found:
+                    x, y = hashes[r["a"]], hashes[r["b"]]
                     own = [(x, y, parts) for parts in chains_of(r["parts"])]
                     items += own
                     names += [(r["a"], r["b"])] * len(own)
