@@ -32,3 +32,7 @@ def test_query_equals_twin_where_codes_are_shared(name, spark, shared):
     got = sorted((tuple(map(str, r)) for r in df.collect()))
     answer = duckdb.sql(f"select {', '.join(df.columns)} from ({registry.ORACLE_SQL[name].replace('from lineitem', f'''from '{shared}/lineitem.parquet/*.parquet' ''')}) x")
     assert got == sorted(tuple(map(str, r)) for r in answer.fetchall())
+
+
+def test_valuations_are_carried_back_by_one_pass(spark, sf):
+    assert "currentrow$(), unboundedfollowing$()" not in registry.QUERIES["w56_valuation"](spark, sf)._jdf.queryExecution().executedPlan().toString()
