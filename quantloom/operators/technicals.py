@@ -25,11 +25,12 @@ def price_set(bars: DataFrame) -> DataFrame:
     """
     w = S.series()
     body_top, body_low = F.greatest("close", "open"), F.least("close", "open")
+    ratio = safe_div(F.col("close"), F.col("pre_close"))
     base = bars.withColumns({
         "oc_ratio": safe_div(F.col("close") - F.col("open"), F.col("pre_close")), "hl_ratio": safe_div(F.col("high") - F.col("low"), F.col("pre_close")),
         "uppershadow": safe_div(F.col("high") - body_top, F.col("pre_close")), "lowershadow": safe_div(body_low - F.col("low"), F.col("pre_close")),
-        "overnight_gap": safe_div(F.col("open") - F.col("pre_close"), F.col("pre_close")), "log_ret": F.ln(safe_div(F.col("close"), F.col("pre_close"))),
-        "_hl": F.ln(safe_div(F.col("high"), F.col("low"))), "_tr": S.true_range(F.col("high"), F.col("low"), F.col("pre_close")), "_flow": F.signum("pct_chg") * F.col("vol"),
+        "overnight_gap": safe_div(F.col("open") - F.col("pre_close"), F.col("pre_close")), "log_ret": F.when(ratio == 0, float("-inf")).otherwise(F.ln(ratio)),
+        "_hl": F.ln(safe_div(F.col("high"), F.col("low"))), "_tr": S.true_range(F.col("high"), F.col("low"), F.col("pre_close")), "_flow": F.nanvl(F.signum("pct_chg"), F.lit(0.0)) * F.col("vol"),
         "hit_up_limit": (F.col("pct_chg") >= LIMIT).cast("int"), "hit_down_limit": (F.col("pct_chg") <= -LIMIT).cast("int"),
     })
     means = {f"_ma_{k}": S.rolling(F.avg, "close", k) for k in MEANS}

@@ -28,7 +28,7 @@ def plain(v):
     return str(v if not isinstance(v, float) or not math.isfinite(v) else round(v, 9) + 0.0)
 
 
-@pytest.mark.parametrize("name", ["s01_series_files", "ts7_keyed_state", "w40_ranking"])
+@pytest.mark.parametrize("name", ["s01_series_files", "ts7_keyed_state", "w40_ranking", "w57_feature_set"])
 def test_query_equals_twin(name, spark, fallen):
     import duckdb
 
